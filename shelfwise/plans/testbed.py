@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import half_up
-from shelfwise.schemas import (INVENTORY, MONEY, PAIR, PRICE, PRODUCTS, RESTOCKS, SALES, WAREHOUSES, Tables, conform)
+from shelfwise.schemas import (INVENTORY, MONEY, PRICE, PRODUCTS, RESTOCKS, SALES, WAREHOUSES, Tables, conform)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,14 @@ def canonical(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 # ------------------------------------------------------------------------------------------------- raw exports
+# The raw exports are dated ten years later: the quality gate refuses order dates before 2000.
+LATER_DAYS = 3653
+
+
+def _ship_day() -> Column:
+    return F.date_add(F.col("l_shipdate").cast("date"), LATER_DAYS)
+
+
 def _messy_date(day: Column, key: Column) -> Column:
     """Three spellings of the same day, and now and then no date at all."""
     return (F.when(key % 89 == 7, F.lit("unknown"))
@@ -90,7 +98,7 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, qty = F.col("l_orderkey") + F.col("l_linenumber") + F.col("l_partkey"), F.col("l_quantity").cast("int")
     return lines.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("order_id"),
-        _messy_date(F.col("l_shipdate").cast("date"), key).alias("order_date"),
+        _messy_date(_ship_day(), key).alias("order_date"),
         F.when(key % 61 != 5, _text("s_nationkey")).alias("warehouse_id"),
         F.when(key % 53 == 2, F.concat(F.lit("X"), _text("l_partkey"))).otherwise(_text("l_partkey")).alias("product_id"),
         F.when(key % 47 == 1, F.lit("0")).when(key % 47 == 2, F.lit(None).cast("string")).otherwise(qty.cast("string")).alias("quantity"),
@@ -101,7 +109,7 @@ def raw_restocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = order_lines(spark, sf_dir).filter(F.col("l_returnflag") == "R")
     key, qty = F.col("l_orderkey") + F.col("l_linenumber") + F.col("l_partkey"), F.col("l_quantity").cast("int")
     return lines.select(
-        _messy_date(F.col("l_shipdate").cast("date"), key).alias("restock_date"), _text("s_nationkey").alias("warehouse_id"),
+        _messy_date(_ship_day(), key).alias("restock_date"), _text("s_nationkey").alias("warehouse_id"),
         F.when(key % 53 == 2, F.concat(F.lit("X"), _text("l_partkey"))).otherwise(_text("l_partkey")).alias("product_id"),
         F.when(key % 47 == 1, F.lit("-4")).when(key % 47 == 2, F.lit("n/a")).otherwise(qty.cast("string")).alias("quantity"))
 
@@ -152,9 +160,8 @@ def sales_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A shop's own sales export: day-first dates, currency text, returns, blank codes, missing invoice numbers."""
     lines = order_lines(spark, sf_dir)
     key, qty = F.col("l_orderkey") + F.col("l_linenumber") + F.col("l_partkey"), F.col("l_quantity").cast("int")
-    day = F.col("l_shipdate").cast("date")
     return lines.select(
-        F.when(key % 89 == 7, F.lit("not a date")).otherwise(F.date_format(day, "dd/MM/yyyy")).alias("Bill Date"),
+        F.when(key % 89 == 7, F.lit("not a date")).otherwise(F.date_format(_ship_day(), "dd/MM/yyyy")).alias("Bill Date"),
         F.when(key % 59 == 3, F.lit("  ")).when(key % 59 == 4, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit(" "), _text("l_partkey"), F.lit(" "))).alias("Item Code"),
         F.when(key % 47 == 2, F.lit(None).cast("string")).when(key % 47 == 1, F.lit("0"))
@@ -195,6 +202,3 @@ def store_item_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (lines.groupBy(F.col("l_shipdate").cast("date").alias("date"), F.col("s_nationkey").alias("store"),
                           F.col("l_partkey").alias("item"))
             .agg(F.sum(F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).otherwise(0)).cast("bigint").alias("sales")))
-
-
-__all__ = ["PAIR", "canonical", "raw_tables", "sales_export", "stock_export", "product_export", "store_item_demand"]

@@ -9,7 +9,7 @@ from shelfwise.operators.importing import ImportDefaults
 from shelfwise.schemas import INVENTORY, PRODUCTS, RESTOCKS, SALES, WAREHOUSES, Tables, conform
 
 # Product categories, chosen by item number.
-CATEGORIES = ("Beverages", "Snacks", "Personal Care", "Household", "Staples")
+CATEGORIES = ("Beverages", "Snacks", "Household", "Personal Care", "Staples")
 
 
 def adapt_store_items(demand: DataFrame, n_items: int | None = None, defaults: ImportDefaults = ImportDefaults()) -> Tables:
