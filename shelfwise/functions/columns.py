@@ -1,6 +1,8 @@
 """Column expressions shared by the operators. All of them stay inside the JVM."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,11 @@ from pyspark.sql import types as T
 NUMBER_PATTERN = r"(-?\d+(?:\.\d+)?|-?\.\d+)"
 CLEAN_DATE_FORMATS = ("yyyy-M-d", "d/M/yyyy", "d-MMM-yyyy")
 
+# What each letter group of a date format may hold, and the last two-digit year of the 2000s.
+DATE_PARTS = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MMM": "(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)", "MM": r"(0[1-9]|1[0-2])",
+              "M": r"(0?[1-9]|1[0-2])", "dd": r"(0[1-9]|[12]\d|3[01])", "d": r"(0?[1-9]|[12]\d|3[01])"}
+LAST_NEW_YEAR = 2068
+
 # Abramowitz-Stegun 7.1.26 coefficients of the error function.
 ERF_P = 0.3275911
 ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
@@ -27,9 +34,21 @@ def strict_number(raw: Column) -> Column:
     return F.trim(raw.cast("string")).try_cast("double")
 
 
+def format_date(text: Column, pattern: str) -> Column:
+    """Date of a text that matches the whole format, null for any other text.
+
+    The shape is tested first: the date parser throws and catches an exception for every value that does not fit.
+    """
+    shape = re.sub("yyyy|yy|MMM|MM|M|dd|d", lambda g: DATE_PARTS[g.group()], pattern.replace(".", r"\."))
+    day = F.when(text.rlike(f"(?i)^{shape}$"), F.try_to_timestamp(text, F.lit(pattern)).cast("date"))
+    if "yyyy" in pattern:
+        return day
+    return F.when(F.year(day) > LAST_NEW_YEAR, F.add_months(day, -1200)).otherwise(day)
+
+
 def parse_date(raw: Column, formats: tuple[str, ...] = CLEAN_DATE_FORMATS) -> Column:
     """First format of the cascade that accepts the value, else null."""
-    return F.coalesce(*[F.try_to_timestamp(raw, F.lit(f)).cast("date") for f in formats])
+    return F.coalesce(*[format_date(raw, f) for f in formats])
 
 
 def title_case(text: Column) -> Column:

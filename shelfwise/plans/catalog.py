@@ -114,9 +114,10 @@ class Bed:
         return folder
 
     def raw_folder(self) -> str:
+        """Folder with the raw exports as CSV; the rows lie in the order of all their columns, which is then the file order."""
         folder = new_path(self.spark, "raw")
         for name, df in self.raw.items():
-            files.write_csv(df, f"{folder}/raw_{name}.csv")
+            files.write_csv(df.orderBy(*df.columns), f"{folder}/raw_{name}.csv")
         return folder
 
 

@@ -13,17 +13,25 @@ from shelfwise.schemas import SALES, TABLE_NAMES, TABLE_SCHEMAS, Tables, conform
 MONTH = "order_month"
 DATE_FORMAT = "yyyy-MM-dd"
 
+# Field texts that stand for a missing value in a text export.
+MISSING_TEXTS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+                 "NaN", "None", "n/a", "nan", "null")
+
 # File names of the star-schema export.
 STAR_NAMES = {"sales": "fact_sales", "inventory": "fact_inventory", "restocks": "fact_restocks",
               "products": "dim_products", "warehouses": "dim_warehouses"}
 
 
 # ------------------------------------------------------------------------------------------------ raw
-def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """An untyped CSV with header: every column text, empty fields null, plus the position of each row in its file."""
-    df = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
+def read_text_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """An untyped CSV with header: every column text, missing texts null, plus the position of each row in its file.
+
+    `multi_line` accepts line breaks inside quotes, at the price of files that cannot be split between tasks.
+    """
+    df = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
+    df = df.select("*", "_metadata").withColumns({c: F.when(~F.col(f"`{c}`").isin(*MISSING_TEXTS), F.col(f"`{c}`")) for c in df.columns})
     where = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row"))
-    return df.withColumn(POSITION, where)
+    return df.withColumn(POSITION, where).drop("_metadata")
 
 
 def _readable(spark: SparkSession, path: str, kind: str) -> bool:
@@ -61,7 +69,8 @@ def write_clean(tables: Tables, folder: str, csv: bool = True) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("dateFormat", DATE_FORMAT).csv(path)
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
+    df.write.mode("overwrite").options(**keep).option("header", True).option("dateFormat", DATE_FORMAT).csv(path)
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -70,7 +79,7 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     parquet = f"{folder}/{name}.parquet"
     if _readable(spark, parquet, "parquet"):
         return conform(spark.read.parquet(parquet), schema)
-    return spark.read.schema(schema).option("header", True).option("dateFormat", DATE_FORMAT).csv(f"{folder}/{name}.csv")
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("dateFormat", DATE_FORMAT).csv(f"{folder}/{name}.csv")
 
 
 def load_clean(spark: SparkSession, folder: str) -> Tables:
