@@ -25,14 +25,14 @@ SQL: dict[str, str] = {}
 
 
 class Bed:
-    """Lazy handles on the test tables of one folder."""
+    """Lazy handles on the test tables of one folder, or on a loaded table set."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, tables: Tables | None = None):
+        self.spark, self.sf_dir, self.loaded = spark, sf_dir, tables
 
     @cached_property
     def t(self) -> Tables:
-        return testbed.canonical(self.spark, self.sf_dir)
+        return self.loaded or testbed.canonical(self.spark, self.sf_dir)
 
     @cached_property
     def raw(self) -> Tables:

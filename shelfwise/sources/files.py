@@ -76,10 +76,11 @@ def write_csv(df: DataFrame, path: str) -> None:
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One clean table: Parquet if it is there, else CSV."""
     schema = TABLE_SCHEMAS[name]
-    parquet = f"{folder}/{name}.parquet"
-    if _readable(spark, parquet, "parquet"):
-        return conform(spark.read.parquet(parquet), schema)
-    return spark.read.schema(schema).option("header", True).option("escape", '"').option("dateFormat", DATE_FORMAT).csv(f"{folder}/{name}.csv")
+    try:
+        return spark.read.schema(schema).parquet(f"{folder}/{name}.parquet")
+    except AnalysisException:
+        options = {"header": True, "escape": '"', "dateFormat": DATE_FORMAT}
+        return spark.read.schema(schema).options(**options).csv(f"{folder}/{name}.csv")
 
 
 def load_clean(spark: SparkSession, folder: str) -> Tables:
@@ -87,8 +88,8 @@ def load_clean(spark: SparkSession, folder: str) -> Tables:
 
 
 def read_sales_between(spark: SparkSession, folder: str, first_day: str, last_day: str) -> DataFrame:
-    """Clean sales of a date range; only the month folders it touches are listed and read."""
-    df = spark.read.parquet(f"{folder}/sales.parquet")
+    """Clean sales of a date range; only the month folders it touches are read."""
+    df = spark.read.schema(T.StructType([*SALES.fields, T.StructField(MONTH, T.StringType())])).parquet(f"{folder}/sales.parquet")
     months = F.col(MONTH).between(first_day[:7], last_day[:7])
     days = F.col("order_date").between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date"))
     return conform(df.filter(months & days), SALES)
