@@ -53,6 +53,7 @@ def tile(position: Column, total: Column, tiles: int) -> Column:
 
 def skip_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """RANK() by `value` descending: one plus the number of rows with a larger value; null values rank nowhere."""
+    df = stage(df, "to-rank")
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
     ranked = running_totals(counts, [F.col(value).desc()], {"_upto": F.col("_n")}, "ranked")
     ranks = ranked.select(F.col(value).alias("_value"), (F.col("_upto") - F.col("_n") + 1).alias(name))

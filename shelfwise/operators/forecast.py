@@ -1,7 +1,8 @@
 """Demand forecast (recent level x weekday profile x year-over-year ratio) and its holdout backtest.
 
 Every term is a conditional sum per product divided by a calendar day count, so one pass and one shuffle on product_id with
-map-side combine yields all of them; the day x product matrix is never built.
+map-side combine yields all of them; the day x product matrix is never built. The sums are staged, because the category pools
+and the products both start from them and the sales are to be read once.
 """
 from __future__ import annotations
 
@@ -9,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import half_up, ratio
+from shelfwise.functions.staging import stage
 from shelfwise.operators.demand import moving_average, span
+from shelfwise.operators.kpis import recent
 
 # Window lengths of the model in days and the bounds of the seasonal ratio.
 LEVEL_DAYS, PROFILE_DAYS, YEAR_DAYS = 28, 56, 365
@@ -80,14 +83,14 @@ def _forecast_units(horizon: int) -> Column:
 
 def forecast(sales: DataFrame, horizon: int = 30, products: DataFrame | None = None) -> DataFrame:
     """Daily demand forecast per product ever sold. `products` pools weekday profile and seasonal ratio per category."""
-    factors = _with_factors(_window_sums(sales, horizon, 0), horizon, products)
+    factors = _with_factors(stage(_window_sums(sales, horizon, 0), "window-sums"), horizon, products)
     days = factors.select("product_id", "next_day", F.posexplode(_forecast_units(horizon)).alias("i", "units"))
     return days.select("product_id", F.date_add("next_day", F.col("i")).alias("day"), "units")
 
 
 def _errors(sales: DataFrame, horizon: int, products: DataFrame | None) -> DataFrame:
     """Per product: units, forecast and absolute errors over the holdout, by day and by 7-day bucket from its first day."""
-    f = _with_factors(_window_sums(sales, horizon, horizon), horizon, products)
+    f = _with_factors(stage(_window_sums(sales, horizon, horizon), "window-sums"), horizon, products)
     days = ", ".join(f"double(actual_{i})" for i in range(horizon))
     f = f.select("product_id", F.expr(f"array({days}) AS actual"), _forecast_units(horizon).alias("model"),
                  F.expr(f"array_repeat(level, {horizon}) AS naive"))
@@ -137,12 +140,10 @@ def smoothed_forecast(sales: DataFrame, horizon: int = 30, products: DataFrame |
 
 def forecast_totals(sales: DataFrame, horizon: int = 30, products: DataFrame | None = None) -> DataFrame:
     """Forecast total per product, units of the last 30 days, and the change between the two."""
-    s = span(sales)
-    last_30 = F.coalesce(F.sum(F.when(F.col("order_date") > F.date_sub(s["hi"], 30), F.col("quantity"))), F.lit(0))
-    past = sales.groupBy("product_id").agg(last_30.alias("last_30_units"))
+    past = recent(sales, 30).groupBy("product_id").agg(F.sum("quantity").alias("last_30_units"))
     ahead = forecast(sales, horizon, products).groupBy("product_id").agg(F.sum("units").alias("forecast_units"))
     change = ratio(F.col("forecast_units"), F.greatest(F.col("last_30_units"), F.lit(1))) - 1
-    return ahead.join(past, "product_id").select(
+    return ahead.join(past, "product_id", "left").fillna(0, ["last_30_units"]).select(
         "product_id", half_up(F.col("forecast_units"), 1).alias("forecast_units"), "last_30_units",
         half_up(change, 4).alias("change"))
 

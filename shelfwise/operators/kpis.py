@@ -185,7 +185,8 @@ def category_totals(sales: DataFrame, products: DataFrame) -> DataFrame:
 def category_summary(sales: DataFrame, products: DataFrame) -> DataFrame:
     """Revenue, gross profit, margin and share of revenue per category, largest first."""
     c = category_totals(sales, products)
-    everything = c.agg(F.sum("revenue")).scalar()
+    # the total sums both columns, so that its plan equals the one of the rows and the shuffled sums are reused
+    everything = c.agg(F.struct(F.sum("revenue").alias("revenue"), F.sum("gross_profit").alias("profit"))).scalar()["revenue"]
     return c.select("category", "revenue", "gross_profit",
                     half_up(ratio(F.col("gross_profit") * 100, F.col("revenue")), 1).alias("margin_pct"),
                     half_up(ratio(F.col("revenue") * 100, everything), 1).alias("revenue_share_pct"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import ratio
 from shelfwise.functions.ordering import quantiles, skip_rank
+from shelfwise.functions.staging import stage
 from shelfwise.operators.kpis import is_low
 from shelfwise.schemas import PAIR, Tables
 
@@ -150,7 +151,7 @@ def stock_by(t: Tables, by: list[str], everything: Tables | None = None) -> Data
 
 def movement_class(t: Tables) -> DataFrame:
     """Fast, Medium or Slow per product by the inclusive quartiles of product turnover."""
-    per = stock_by(t, ["product_id"]).select("product_id", "stock_turnover")
+    per = stage(stock_by(t, ["product_id"]).select("product_id", "stock_turnover"), "turnover")
     quartiles = quantiles(per, [], "stock_turnover", {"p75": 0.75, "p25": 0.25})
     cuts = quartiles.agg(F.struct(F.max("p75").alias("p75"), F.max("p25").alias("p25"))).scalar()
     turnover = F.coalesce("stock_turnover", F.lit(0.0))           # a blank compares as zero
@@ -184,7 +185,7 @@ def measure(t: Tables, name: str, by: list[str], filters: Filters = Filters()) -
 # ------------------------------------------------------------------------------------------------ report visuals
 def turnover_extremes(t: Tables, n: int = 10) -> DataFrame:
     """The n product names with the highest and the n with the lowest turnover."""
-    per = stock_by(t, ["product_name"]).select("product_name", "stock_turnover").filter("stock_turnover IS NOT NULL")
+    per = stage(stock_by(t, ["product_name"]).select("product_name", "stock_turnover").filter("stock_turnover IS NOT NULL"), "turnover")
     top = per.orderBy(F.desc("stock_turnover"), "product_name").limit(n).withColumn("side", F.lit("fastest"))
     bottom = per.orderBy(F.asc("stock_turnover"), "product_name").limit(n).withColumn("side", F.lit("slowest"))
     return top.unionByName(bottom)

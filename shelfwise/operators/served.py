@@ -1,9 +1,13 @@
-"""Parameterised reads over the tables and models: the questions that an application asks."""
+"""Parameterised reads over the tables and models: the questions that an application asks.
+
+A read that returns both a total and its first rows stages the matching rows, so that the model behind them runs once.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.functions.staging import stage
 from shelfwise.operators import forecast, kpis, segments
 from shelfwise.operators.measures import Filters, filter_tables
 from shelfwise.schemas import PAIR, Tables
@@ -53,6 +57,7 @@ def alerts_of(t: Tables, warehouse_id: str | None = None, severity: str | None =
         a = a.filter(F.col("warehouse_id") == warehouse_id)
     if severity:
         a = a.filter(F.col("severity") == severity)
+    a = stage(a, "alerts")
     count = a.agg(F.count("*")).scalar()
     return a.orderBy(*kpis.by_urgency()).limit(limit).withColumn("count", count)
 
@@ -62,12 +67,14 @@ def replenishment_of(policy_rows: DataFrame, warehouse_id: str | None = None, on
     r = policy_rows if warehouse_id is None else policy_rows.filter(F.col("warehouse_id") == warehouse_id)
     if only_due:
         r = r.filter("below_rop")
+    r = stage(r, "orders")
     whole = r.agg(F.struct(F.count("*").alias("count"), F.coalesce(F.sum("suggested_order_cost"), F.lit(0)).alias("cost"))).scalar()
     return (r.orderBy(F.desc("suggested_order_cost"), *PAIR).limit(limit)
             .withColumns({"count": whole["count"], "total_cost": whole["cost"]}))
 
 
 def transfers_of(transfers: DataFrame, limit: int = 100) -> DataFrame:
+    transfers = stage(transfers, "transfers")
     count = transfers.agg(F.count("*")).scalar()
     ordered = transfers.orderBy(F.desc("value_at_cost"), "product_id", "from_warehouse", "to_warehouse")
     return ordered.limit(limit).withColumn("count", count)
@@ -80,6 +87,7 @@ def segment_of(t: Tables, segment: str | None = None, limit: int = 1000) -> Data
     a = segments.abc_xyz(t.sales, t.products)
     if segment:
         a = a.filter(F.col("segment") == segment)
+    a = stage(a, "segments")
     count = a.agg(F.count("*")).scalar()
     return a.orderBy(F.desc("revenue"), "product_id").limit(limit).withColumn("count", count)
 
