@@ -6,10 +6,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+Result = TypeVar("Result")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,6 +30,12 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/staged/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def together(*jobs: Callable[[], Result]) -> list[Result]:
+    """Run independent Spark actions at the same time; the first failure is raised."""
+    with ThreadPoolExecutor(max_workers=max(len(jobs), 1)) as pool:
+        return [future.result() for future in [pool.submit(job) for job in jobs]]
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write the frame once and continue from the files."""
     path = new_path(df.sparkSession, label)

@@ -4,27 +4,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.functions.staging import stage
+from shelfwise.functions.staging import stage, together
 from shelfwise.operators import cleaning as c
 from shelfwise.operators.quality import assert_valid
-from shelfwise.schemas import Tables, conform, PRODUCTS, WAREHOUSES, INVENTORY, RESTOCKS
+from shelfwise.schemas import Tables
 from shelfwise.sources.files import read_raw, write_clean, write_report
 
 
 def clean_staged(raw: Tables) -> tuple[Tables, DataFrame]:
     """Clean every table once; gate, report and output all read the staged results."""
-    warehouses = conform(stage(c.clean_warehouses(raw.warehouses), "warehouses"), WAREHOUSES)
-    products = conform(stage(c.clean_products(raw.products), "products"), PRODUCTS)
+    warehouses, products = together(lambda: stage(c.clean_warehouses(raw.warehouses), "warehouses"),
+                                    lambda: stage(c.clean_products(raw.products), "products"))
     typed = c.type_sales(raw.sales)
-    judged = stage(c.judge_sales(c.dedupe_orders(typed), products, warehouses), "judged-sales")
-    inventory = conform(stage(c.clean_inventory(raw.inventory, products, warehouses), "inventory"), INVENTORY)
-    restocks = conform(stage(c.clean_restocks(raw.restocks, products, warehouses), "restocks"), RESTOCKS)
+    judged, inventory, restocks = together(
+        lambda: stage(c.judge_sales(c.dedupe_orders(typed), products, warehouses), "judged-sales"),
+        lambda: stage(c.clean_inventory(raw.inventory, products, warehouses), "inventory"),
+        lambda: stage(c.clean_restocks(raw.restocks, products, warehouses), "restocks"))
     tables = Tables(warehouses, products, inventory, restocks, c.accepted_sales(judged))
     return tables, c.sales_report(typed, judged)
 
 
 def row_counts(tables: Tables) -> dict[str, int]:
-    return {name: df.count() for name, df in tables.items()}
+    names = [name for name, _ in tables.items()]
+    return dict(zip(names, together(*[df.count for _, df in tables.items()])))
 
 
 def refresh(spark: SparkSession, raw_folder: str, clean_folder: str, csv: bool = True, strict: bool = True) -> DataFrame:

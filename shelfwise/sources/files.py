@@ -1,6 +1,8 @@
 """Reading and writing the table set: raw CSV, clean Parquet and CSV, star-schema and result-set exports, JSON records."""
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import types as T
 
 from shelfwise.functions.columns import json_safe
 from shelfwise.functions.firsts import POSITION
+from shelfwise.functions.staging import together
 from shelfwise.schemas import SALES, TABLE_NAMES, TABLE_SCHEMAS, Tables, conform
 
 MONTH = "order_month"
@@ -48,7 +51,7 @@ def read_raw(spark: SparkSession, folder: str) -> Tables:
     missing = [p for p in paths.values() if not _readable(spark, p, "text")]
     if missing:
         raise FileNotFoundError(f"missing raw files: {', '.join(missing)}")
-    return Tables(**{name: read_text_csv(spark, p) for name, p in paths.items()})
+    return Tables(**dict(zip(paths, together(*[partial(read_text_csv, spark, p) for p in paths.values()]))))
 
 
 # ------------------------------------------------------------------------------------------------ clean tables
@@ -57,16 +60,18 @@ def write_clean(tables: Tables, folder: str, csv: bool = True) -> None:
 
     The rebalance hint fills files evenly and splits a month that holds far more rows than the others.
     """
-    for name, df in tables.items():
-        writer = df
+    def write(name: str, df: DataFrame) -> None:
         if name == "sales":
-            writer = df.withColumn(MONTH, F.date_format("order_date", "yyyy-MM"))
-            writer = writer.hint("rebalance", F.col(MONTH)).sortWithinPartitions(MONTH, "order_date", "order_id")
-        out = writer.write.mode("overwrite")
-        (out.partitionBy(MONTH) if name == "sales" else out).parquet(f"{folder}/{name}.parquet")
+            monthly = df.withColumn(MONTH, F.date_format("order_date", "yyyy-MM")).hint("rebalance", F.col(MONTH))
+            ordered = monthly.sortWithinPartitions(MONTH, "order_date", "order_id")
+            ordered.write.mode("overwrite").partitionBy(MONTH).parquet(f"{folder}/{name}.parquet")
+        else:
+            df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
         if csv:
             write_csv(df, f"{folder}/{name}.csv")
 
+    together(*[partial(write, name, df) for name, df in tables.items()])
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
