@@ -82,7 +82,7 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One clean table: Parquet if it is there, else CSV."""
     schema = TABLE_SCHEMAS[name]
     try:
-        return spark.read.schema(schema).parquet(f"{folder}/{name}.parquet")
+        return spark.read.schema(schema).parquet(f"{folder}/{name}.parquet").select(schema.names)      # without the month folder
     except AnalysisException:
         options = {"header": True, "escape": '"', "dateFormat": DATE_FORMAT}
         return spark.read.schema(schema).options(**options).csv(f"{folder}/{name}.csv")
