@@ -5,9 +5,10 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry
+from shelfwise.plans import catalog
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.callables(), catalog.SQL
 
 
 @pytest.fixture(scope="module")
