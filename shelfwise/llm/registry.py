@@ -5,14 +5,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import mixing, quality_rules
+from shelfwise.llm import mixing, near_dedup, quality_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_archives": warc.query,
     "op6_mix_sources": mixing.query,
     "op7_quality_rules": quality_rules.query,
+    "op10_near_duplicates": near_dedup.query,
 }
 #: Queries without an entry are tested against brute force in tests/llm.
 SQL: dict[str, str] = {
+    "op1_warc_archives": warc.SQL,
     "op6_mix_sources": mixing.SQL,
     "op7_quality_rules": quality_rules.SQL,
 }
