@@ -9,13 +9,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.functions.staging import stage
-from shelfwise.llm import mixing, quality_rules
+from shelfwise.llm import line_dedup, mixing, near_dedup, packing, quality_rules
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", lambda spark, docs, sf_dir: quality_rules.keep_good(docs)),
+    ("near_duplicates", lambda spark, docs, sf_dir: near_dedup.keep_one(docs)),
+    ("repeated_lines", lambda spark, docs, sf_dir: line_dedup.clean(docs)),
     ("mix_sources", lambda spark, docs, sf_dir: mixing.mix(docs)),
+    ("pack_sequences", lambda spark, docs, sf_dir: packing.pack(docs)),
 ]
 
 #: Tokenizing and near-duplicate components have no SQL; tests/llm holds the rows against a brute-force version.

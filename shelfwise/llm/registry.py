@@ -5,20 +5,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import line_dedup, mixing, near_dedup, packing, quality_rules, warc
+from shelfwise.llm import licences, line_dedup, mixing, near_dedup, packing, quality_rules, vector_search, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archives": warc.query,
+    "op2_licences": licences.query,
     "op4_repeated_lines": line_dedup.query,
     "op6_mix_sources": mixing.query,
     "op7_quality_rules": quality_rules.query,
+    "op8_vector_search": vector_search.query,
     "op9_pack_sequences": packing.query,
     "op10_near_duplicates": near_dedup.query,
 }
 #: Queries without an entry are tested against brute force in tests/llm.
 SQL: dict[str, str] = {
     "op1_warc_archives": warc.SQL,
+    "op2_licences": licences.SQL,
     "op4_repeated_lines": line_dedup.SQL,
     "op6_mix_sources": mixing.SQL,
     "op7_quality_rules": quality_rules.SQL,
+    "op8_vector_search": vector_search.SQL,
 }
