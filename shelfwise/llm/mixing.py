@@ -40,10 +40,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
     level = ((F.sum("source_size").over(everything) - F.coalesce(MOST * F.sum("source_size").over(before), F.lit(0)))
              / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    levels = weighed.withColumn("level", level)
-    fits = F.col("level") * F.col("weight") <= MOST * F.col("source_size")
-    # the first source in order that is not capped sets the level of all that follow
-    settled = levels.withColumn("level", F.min(F.when(fits, F.col("level"))).over(everything))
+    # the level rises as long as the next source is capped and falls from the first one that is not: its highest value is theirs
+    settled = weighed.withColumn("level", level).withColumn("level", F.max("level").over(everything))
     cap = (MOST * F.col("source_size")).cast("double")
     return settled.select("source", "source_size", "first", F.least(F.col("level") * F.col("weight"), cap).alias("target"))
 
@@ -92,7 +90,7 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce({MOST} * sum(source_size) O
   / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS lvl FROM w
   WINDOW b AS (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size,
-  least(w * min(CASE WHEN lvl * w <= {MOST} * source_size THEN lvl END) OVER (), {MOST}::DOUBLE * source_size) AS target FROM l),
+  least(w * max(lvl) OVER (), {MOST}::DOUBLE * source_size) AS target FROM l),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target, row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) AS pos,
   coalesce(t.target / nullif(t.source_size, 0), 0) AS e,
   ('0x' || left(md5('{SEED}:' || coalesce('=' || d.source, '')), 7))::BIGINT / {float(1 << 28)} AS u
