@@ -5,13 +5,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import licences, line_dedup, mixing, near_dedup, packing, quality_rules, suffix_index, vector_search, warc
+from shelfwise.llm import language_model, licences, line_dedup, mixing, near_dedup, packing, quality_rules, suffix_index, vector_search, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archives": warc.query,
     "op2_licences": licences.query,
     "op3_suffix_dedup": suffix_index.query,
     "op4_repeated_lines": line_dedup.query,
+    "op5_context_mixing": language_model.query,
     "op6_mix_sources": mixing.query,
     "op7_quality_rules": quality_rules.query,
     "op8_vector_search": vector_search.query,

@@ -25,20 +25,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.staging import stage
-from shelfwise.llm.shingles import _VALUE, buffers, mix64, pieces, powers
-from shelfwise.llm.text import whole
+from shelfwise.llm.batches import opened, text_batches
+from shelfwise.llm.shingles import VALUE, mix64, powers
 
 SPAN = 50
 KEY = 24
 WIDTH = SPAN - KEY + 1
-#: Bytes hashed at once, bytes of text in a batch, and bytes of text whose samples make a shard.
+#: Bytes hashed at once, and bytes of text whose samples make a shard.
 CHUNK = 1 << 20
-BATCH_BYTES = 4 << 20
 SHARD_BYTES = 24 << 20
 #: Rounds of the family: sampled suffixes, stretches of spans around a sample, single spans.
 SAMPLE, STRETCH, SINGLE = range(3)
 
-BATCHES = "batch bigint, ids binary, known binary, offsets binary, text binary, size bigint"
 ENTRIES = "shard int, batch bigint, hashes binary, counts binary, firsts binary"
 SHARED = "batch bigint, round int, hashes binary, counts binary, firsts binary"
 RESULT = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary"
@@ -162,7 +160,7 @@ def scans(data: np.ndarray, offsets: np.ndarray) -> Iterator[Scan]:
         chunk = np.concatenate([data[offsets[d] + a:offsets[d] + b] for d, a, b in parts])
         n = len(chunk)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUE[chunk] * powers(CHUNK + SPAN)[:n], out=sums[1:])
+        np.cumsum(VALUE[chunk] * powers(CHUNK + SPAN)[:n], out=sums[1:])
         begin = np.arange(n - KEY + 1)
         keys = _hash(sums, begin, begin + KEY)
         # the place of the least key in every span, the first of equals
@@ -189,11 +187,6 @@ def _distinct(hashes: np.ndarray, *others: np.ndarray) -> np.ndarray:
     return np.unique(mixed, return_index=True)[1]
 
 
-def _batch(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return (np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], bool), np.frombuffer(row["offsets"], np.int64),
-            np.frombuffer(row["text"], np.uint8))
-
-
 def _known(table: pa.Table) -> list[Entries]:
     """What the rounds so far have found for a batch."""
     found: list[list[tuple]] = [[], [], []]
@@ -212,7 +205,7 @@ def _judge(scan: Scan, ids: np.ndarray, known: list[Entries]) -> tuple[np.ndarra
 
 def _entries(row: dict, known: list[Entries], step: int) -> Entries:
     """A batch's entries of a round."""
-    ids, has_id, offsets, data = _batch(row)
+    ids, has_id, offsets, data = opened(row)
     parts = []
     for scan in scans(data, offsets):
         usable = has_id[scan.doc]
@@ -289,7 +282,7 @@ def _scan_shard(step: int) -> Callable:
 
 def _covered(row: dict, known: list[Entries]) -> list[list[tuple[int, int]]]:
     """Per document of a batch the maximal byte ranges that are covered by spans of earlier documents."""
-    ids, has_id, offsets, data = _batch(row)
+    ids, has_id, offsets, data = opened(row)
     starts, stops, docs = [], [], []
     for scan in scans(data, offsets):
         settled, asked = _judge(scan, ids, known)
@@ -316,7 +309,7 @@ def _covered(row: dict, known: list[Entries]) -> list[list[tuple[int, int]]]:
 def _cut(texts: pa.Table, found: pa.Table) -> pa.Table:
     known, rows = _known(found), []
     for row in texts.to_pylist():
-        ids, has_id, offsets, data = _batch(row)
+        ids, has_id, offsets, data = opened(row)
         for i, spans in enumerate(_covered(row, known)):
             text, at, kept = data[offsets[i]:offsets[i + 1]].tobytes(), 0, []
             for a, b in spans:
@@ -329,23 +322,9 @@ def _cut(texts: pa.Table, found: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    number = TaskContext.get().partitionId() << 32
-    for batch in (piece for every in batches for piece in pieces(every, limit=BATCH_BYTES)):
-        data, offsets = buffers(batch.column(1))
-        ids = batch.column(0)
-        yield pa.RecordBatch.from_pydict({
-            "batch": [number], "ids": [ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()],
-            "known": [ids.is_valid().to_numpy(zero_copy_only=False).tobytes()], "offsets": [offsets.astype(np.int64).tobytes()],
-            "text": [data.tobytes()], "size": [len(data)]})
-        number += 1
-
-
 def removed_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): byte ranges that go, and the bytes left, of every document."""
-    batches = stage(docs.select("doc_id", whole().alias("text")).mapInArrow(_pack, BATCHES), "suffix-batches")
+    batches = text_batches(docs, "suffix-batches")
     shards = int((batches.agg(F.sum("size")).first()[0] or 0) // SHARD_BYTES) + 1
     found = None
     for step in (SAMPLE, STRETCH, SINGLE):
