@@ -44,8 +44,8 @@ REACH = 32
 CHUNK = 1 << 19
 SHARD_BYTES = 24 << 20
 GATES = 8 * (ORDERS + 1) * 2
-STEPS, MAP_CELLS = 4096, 33
-RATE, MAP_RATE, PRIOR = 0.05, 0.02, 0.4
+STEPS, MAP_CELLS = 1024, 33
+RATE, MAP_RATE, PRIOR = 0.5, 0.02, 0.4
 CACHE_BITS = 20
 WORD, GRAM = 0, 1
 U = np.uint64
