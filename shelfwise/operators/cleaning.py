@@ -1,12 +1,12 @@
 """Cleaning rules: raw all-text tables to typed, deduplicated canonical tables, with counters of what changed."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import parse_date, strict_number, title_case, to_number
 from shelfwise.functions.firsts import POSITION, first_by, keep_first, with_position
-from shelfwise.schemas import INVENTORY, PAIR, PRICE, PRODUCTS, RESTOCKS, SALES, WAREHOUSES, Tables, conform
+from shelfwise.schemas import INVENTORY, MONEY, PAIR, PRICE, PRODUCTS, RESTOCKS, SALES, WAREHOUSES, Tables, conform
 
 REPORT_COLUMNS = ["rows_in", "unparseable_dates_dropped", "duplicates_removed", "prices_filled_from_master",
                   "invalid_rows_dropped", "rows_out"]
@@ -44,9 +44,9 @@ def clean_inventory(raw: DataFrame, products: DataFrame, warehouses: DataFrame)
 
 
 def type_sales(raw: DataFrame) -> DataFrame:
-    """Parsed dates, prices and quantities; unparseable values are null."""
+    """Parsed dates, prices and quantities; values that cannot be parsed, and prices beyond the price type, are null."""
     return with_position(raw).withColumns({
-        "order_date": parse_date(F.col("order_date")), "unit_price": to_number(F.col("unit_price")).cast(PRICE),
+        "order_date": parse_date(F.col("order_date")), "unit_price": to_number(F.col("unit_price")).try_cast(PRICE),
         "quantity": strict_number(F.col("quantity"))})
 
 
@@ -59,20 +59,28 @@ def dedupe_orders(typed: DataFrame) -> DataFrame:
 
 
 def judge_sales(unique: DataFrame, products: DataFrame, warehouses: DataFrame) -> DataFrame:
-    """Fill missing prices from the product master and mark invalid rows; nothing is dropped yet."""
+    """Fill missing prices from the product master and mark invalid rows; nothing is dropped yet.
+
+    A quantity, or a revenue, that its column cannot hold makes a row invalid.
+    """
     master = products.select("product_id", F.col("unit_price").alias("_master_price"), F.lit(True).alias("_product"))
     places = warehouses.select("warehouse_id", F.lit(True).alias("_place"))
     joined = unique.join(master, "product_id", "left").join(places, "warehouse_id", "left")
     price = F.coalesce("unit_price", "_master_price")
-    valid = (F.col("quantity") > 0) & price.isNotNull() & F.col("_product").isNotNull() & F.col("_place").isNotNull()
+    units = F.col("quantity").try_cast("int")
+    valid = (units > 0) & _revenue(units, price).isNotNull() & price.isNotNull() & F.col("_product").isNotNull() & F.col("_place").isNotNull()
     return joined.withColumns({"no_price": F.col("unit_price").isNull(), "unit_price": price,
                                "valid": F.coalesce(valid, F.lit(False))}).drop("_master_price", "_product", "_place")
 
 
+def _revenue(units: Column, price: Column) -> Column:
+    return F.round(units * price, 2).try_cast(MONEY)
+
+
 def accepted_sales(judged: DataFrame) -> DataFrame:
     """Valid rows with whole quantities (fractions cut off) and revenue."""
-    units = F.col("quantity").cast("int")
-    rows = judged.filter("valid").withColumns({"quantity": units, "revenue": F.round(units * F.col("unit_price"), 2)})
+    units = F.col("quantity").try_cast("int")
+    rows = judged.filter("valid").withColumns({"quantity": units, "revenue": _revenue(units, F.col("unit_price"))})
     return conform(rows, SALES)
 
 

@@ -50,7 +50,7 @@ def _mean(name: str) -> str:
 def _with_factors(sums: DataFrame, horizon: int, products: DataFrame | None) -> DataFrame:
     """Add level, weekday profile (columns profile_0 .. profile_6, Monday first) and seasonal ratio."""
     p = sums.selectExpr(
-        "*", f"level_units / least(history_days, {LEVEL_DAYS}) AS level", f"least(history_days, {PROFILE_DAYS}) AS window_days")
+        "*", f"try_divide(level_units, greatest(least(history_days, {LEVEL_DAYS}), 0)) AS level", f"least(history_days, {PROFILE_DAYS}) AS window_days")
     # days of each weekday in the profile window; a weekday that the window does not contain has no mean
     first = "weekday(date_sub(next_day, window_days))"
     days = [f"(window_days - 1 - pmod({w} - {first}, 7)) DIV 7 + 1" for w in WEEK]

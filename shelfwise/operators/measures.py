@@ -4,13 +4,13 @@ Facts are summed per (warehouse, product, month) keys first; only these sums mee
 """
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import ratio
-from shelfwise.functions.ordering import quantiles, skip_rank
+from shelfwise.functions.ordering import quantiles, running_totals, skip_rank
 from shelfwise.functions.staging import stage
 from shelfwise.operators.kpis import is_low
 from shelfwise.schemas import PAIR, Tables
@@ -90,25 +90,63 @@ def sales_by(t: Tables, by: list[str]) -> DataFrame:
     return g.withColumn("gross_margin", ratio(F.col("gross_profit"), F.col("total_sales")))
 
 
-def sales_last_year(t: Tables, by: list[str], grain: str = "month") -> DataFrame:
-    """Sales, sales of the same period one year before, and the change, per group and month (or day).
+#: Period columns by the finest date column asked for.
+GRAINS = {"date": "day", "month": "month", "month_sort": "month", "year": "year"}
 
-    At day grain 29 February has no counterpart in the year after or before.
-    """
-    day = F.trunc("order_date", "MM") if grain == "month" else F.col("order_date")
-    per = t.sales.groupBy(*PAIR, day.alias("period")).agg(F.sum("revenue").alias("revenue"))
-    now = _with_dimensions(per, t, by).groupBy(*by, "period").agg(F.sum("revenue").alias("total_sales"))
-    leap_day = (F.month("period") == 2) & (F.day("period") == 29)
-    earlier = now if grain == "month" else now.filter(~leap_day)
-    then = earlier.select(*by, F.add_months("period", 12).alias("period"), F.col("total_sales").alias("sales_ly"))
-    both = now.join(then, [*by, "period"], "left")
-    return both.withColumn("sales_yoy", ratio(F.col("total_sales") - F.col("sales_ly"), F.col("sales_ly")))
+
+def _start_of(day: Column, grain: str) -> Column:
+    return {"day": day, "month": F.trunc(day, "MM"), "year": F.trunc(day, "YYYY")}[grain]
 
 
-def revenue_rank(t: Tables) -> DataFrame:
-    """Skip ranking of all product names by total sales."""
-    by_name = sales_by(t, ["product_name"]).select("product_name", "total_sales")
-    return skip_rank(by_name, "total_sales", "revenue_rank")
+def sales_last_year(t: Tables, by: list[str], grain: str = "month", first_day: str | None = None, last_day: str | None = None) -> DataFrame:
+    """Sales, sales one year before, and the change, per group and day, month or year.
+
+    The year is taken off the dates, not off the periods: `first_day` and `last_day` limit the dates of this year, so `t` must
+    still hold the year before. Days outside the sales history are no dates. A group that sold last year only has a row.
+    29 February has no counterpart at day grain and falls into its month otherwise.
+    """
+    history = t.sales.agg(F.struct(F.min("order_date").alias("lo"), F.max("order_date").alias("hi"))).scalar()
+    chosen = [F.col("day").between(history["lo"], history["hi"])]
+    chosen += [F.col("day") >= F.lit(first_day).cast("date")] if first_day else []
+    chosen += [F.col("day") <= F.lit(last_day).cast("date")] if last_day else []
+    day = F.col("order_date")
+    leap_day = (F.month(day) == 2) & (F.day(day) == 29)
+    earlier = t.sales.filter(~leap_day) if grain == "day" else t.sales
+
+    def summed(sales: DataFrame, shifted: Column, name: str) -> DataFrame:
+        dated = sales.withColumn("day", shifted)
+        for condition in chosen:
+            dated = dated.filter(condition)
+        per = dated.groupBy(*PAIR, _start_of(F.col("day"), grain).alias("period")).agg(F.sum("revenue").alias("revenue"))
+        return _with_dimensions(per, t, by).groupBy(*by, "period").agg(F.sum("revenue").alias(name))
+
+    now, then = summed(t.sales, day, "total_sales"), summed(earlier, F.add_months(day, 12), "sales_ly")
+    both = now.join(then, [*by, "period"], "full")
+    change = F.coalesce("total_sales", F.lit(0)) - F.col("sales_ly")
+    return both.withColumn("sales_yoy", ratio(change, F.col("sales_ly")))
+
+
+def revenue_rank(t: Tables, everything: Tables | None = None) -> DataFrame:
+    """Skip ranking of all product names by total sales; `everything` has the products that a product filter leaves out."""
+    by_name = sales_by(everything or t, ["product_name"]).select("product_name", "total_sales")
+    ranked = skip_rank(by_name, "total_sales", "revenue_rank")
+    if everything is None:
+        return ranked
+    return ranked.join(t.products.select("product_name").distinct(), "product_name", "left_semi")
+
+
+def revenue_rank_by(t: Tables, by: list[str], everything: Tables) -> DataFrame:
+    """Per group, one more than the number of product names that sold more than the group."""
+    names = stage(sales_by(everything, ["product_name"]).select(F.col("total_sales").alias("_sold")), "names-sold")
+    groups = sales_by(t, by).select(*by, "total_sales")
+    counts = names.groupBy("_sold").agg(F.count("*").alias("_names"))
+    # names and groups in one descending line: names above a group are the running count before it
+    line = (counts.select(F.col("_sold").alias("total_sales"), "_names").unionByName(
+        groups.select("total_sales").distinct().withColumn("_names", F.lit(0).cast("bigint"))))
+    line = line.groupBy("total_sales").agg(F.sum("_names").alias("_names"))
+    upto = running_totals(line, [F.col("total_sales").desc()], {"_upto": F.col("_names")}, "ranked-groups")
+    above = upto.select("total_sales", (F.col("_upto") - F.col("_names") + 1).alias("revenue_rank"))
+    return groups.join(above, "total_sales").select(*by, "total_sales", "revenue_rank")
 
 
 def first_receipt_day(restocks: DataFrame) -> Column:
@@ -149,34 +187,51 @@ def stock_by(t: Tables, by: list[str], everything: Tables | None = None) -> Data
         "shortfall": F.greatest(F.lit(0), F.coalesce("reorder_level", F.lit(0)) - F.coalesce("total_stock", F.lit(0)))})
 
 
-def movement_class(t: Tables) -> DataFrame:
-    """Fast, Medium or Slow per product by the inclusive quartiles of product turnover."""
-    per = stage(stock_by(t, ["product_id"]).select("product_id", "stock_turnover"), "turnover")
+def movement_class(t: Tables, everything: Tables | None = None) -> DataFrame:
+    """Fast, Medium or Slow per product by the inclusive quartiles of product turnover.
+
+    The quartiles are over `everything`: the tables without filters on products.
+    """
+    whole = everything or t
+    per = stage(stock_by(whole, ["product_id"]).select("product_id", "stock_turnover"), "turnover")
     quartiles = quantiles(per, [], "stock_turnover", {"p75": 0.75, "p25": 0.25})
     cuts = quartiles.agg(F.struct(F.max("p75").alias("p75"), F.max("p25").alias("p25"))).scalar()
     turnover = F.coalesce("stock_turnover", F.lit(0.0))           # a blank compares as zero
     label = F.when(turnover >= cuts["p75"], "Fast").when(turnover <= cuts["p25"], "Slow").otherwise("Medium")
-    return per.withColumn("movement_class", label)
+    chosen = per if everything is None else per.join(t.products.select("product_id"), "product_id", "left_semi")
+    return chosen.withColumn("movement_class", label)
 
 
 def measure(t: Tables, name: str, by: list[str], filters: Filters = Filters()) -> DataFrame:
     """One named measure per group: columns `by` plus the measure.
 
-    Rank, opening day, period length and movement quartiles ignore the filters on their own table, as in the model.
+    Rank and movement quartiles ignore filters on products; opening day and period length ignore all filters on their table.
     """
     unknown = [c for c in by if c not in DIMENSION_COLUMNS]
     if unknown:
         raise KeyError(f"unknown dimension columns {unknown}")
-    chosen = filter_tables(t, filters)
+    chosen, dates = filter_tables(t, filters), _dates_of(by)
+    all_products = filter_tables(t, replace(filters, categories=None))
     if name in ("total_sales", "units_sold", "gross_profit", "gross_margin"):
         return sales_by(chosen, by).select(*by, name)
     if name in ("sales_ly", "sales_yoy"):
-        groups = [c for c in by if c not in _dates_of(by)]
-        return sales_last_year(chosen, groups).select(*groups, "period", name)
+        if not dates:
+            raise ValueError(f"{name} needs a date column: a year, a month or a date")
+        all_days = filter_tables(t, replace(filters, first_day=None, last_day=None))
+        grain = next(g for g in ("day", "month", "year") if g in [GRAINS[c] for c in dates])
+        rows = sales_last_year(all_days, [c for c in by if c not in dates], grain, filters.first_day, filters.last_day)
+        columns = date_columns(F.col("period"))
+        return rows.select(*[columns[c].alias(c) if c in dates else c for c in by], name)
     if name == "revenue_rank":
-        return revenue_rank(chosen).select("product_name", name)
+        if by == ["product_name"]:
+            return revenue_rank(chosen, all_products).select(*by, name)
+        return revenue_rank_by(chosen, by, all_products).select(*by, name)
+    if name in STOCK_MEASURES and dates:
+        raise ValueError(f"{name} is a measure of stock as it is now: it has no value by {', '.join(dates)}")
     if name == "movement_class":
-        return movement_class(chosen).select("product_id", name)
+        if by != ["product_id"]:
+            raise ValueError("movement_class is a measure of products: group by product_id")
+        return movement_class(chosen, all_products).select(*by, name)
     if name in STOCK_MEASURES:
         return stock_by(chosen, by, everything=t).select(*by, name)
     raise KeyError(f"unknown measure {name!r}")

@@ -38,8 +38,10 @@ def choose(t: Tables, warehouse_id: str | None = None, category: str | None = No
 
 
 def kpis_of(t: Tables, warehouse_id: str | None = None, category: str | None = None) -> DataFrame:
+    """Headline of a selection; what was not sold or is not stocked counts as 0."""
     chosen = choose(t, warehouse_id, category)
-    return kpis.headline(chosen.sales, chosen.inventory)
+    figures = kpis.headline(chosen.sales, chosen.inventory)
+    return figures.select([F.coalesce(c, F.lit(0).cast(kind)).alias(c) for c, kind in figures.dtypes])
 
 
 def monthly_of(t: Tables, warehouse_id: str | None = None) -> DataFrame:
@@ -100,6 +102,10 @@ def product_profile(t: Tables, policy_rows: DataFrame, product_id: str) -> dict[
             "abc_xyz": segments.abc_xyz(t.sales, t.products).filter(mine)}
 
 
-def forecast_of(t: Tables, product_id: str, horizon: int = 30) -> tuple[DataFrame, DataFrame]:
-    """Forecast of one product, and the model check over all products."""
-    return (forecast.product_forecast(t.sales, t.products, product_id, horizon), forecast.backtest(t.sales, 30, t.products))
+def forecast_with_check(t: Tables, product_id: str, horizon: int = 30, held_out: int = 30) -> DataFrame:
+    """Daily forecast of one product, every row with the model check over all products; no check where history is too short."""
+    days = forecast.product_forecast(t.sales, t.products, product_id, horizon)
+    check = forecast.backtest(t.sales, held_out, t.products)
+    enough = forecast.enough_history(t.sales).select("can_check").scalar()
+    figures = check.agg(*[F.max(c).alias(c) for c in check.columns]).select(F.struct("*")).scalar()
+    return days.withColumns({c: F.when(enough, figures[c]) for c in check.columns})

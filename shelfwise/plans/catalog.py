@@ -654,6 +654,16 @@ def _(b: Bed) -> DataFrame:
     return forecast.backtest(b.t.sales, 30, b.t.products)
 
 
+SHORT = "CAST(order_date AS DATE) <= (SELECT MIN(order_date) FROM all_sales) + {days}"
+
+
+@query("a5_short_history", q(f"""SELECT * FROM (WITH sales AS (SELECT * FROM all_sales WHERE {SHORT.format(days=44)}),
+{o.backtest_sql(30)} {o.BACKTEST})""", "all_sales AS (SELECT * FROM sales)"))
+def _(b: Bed) -> DataFrame:
+    first = b.t.sales.agg(F.min("order_date")).scalar()
+    return forecast.backtest(b.t.sales.filter(F.col("order_date") <= F.date_add(first, 44)), 30, b.t.products)
+
+
 @query("a5p_backtest_per_product", q(f"""SELECT product_id, {R('SUM(ABS(a - m)) / NULLIF(SUM(a), 0)', 4)} AS wape_model,
     {R('SUM(ABS(a - v)) / NULLIF(SUM(a), 0)', 4)} AS wape_naive FROM errs GROUP BY 1""", o.backtest_sql(30)))
 def _(b: Bed) -> DataFrame:
@@ -703,6 +713,18 @@ def _(b: Bed) -> DataFrame:
                     "suggested_order_cost", "stockout_risk_pct")
 
 
+@query("a13_health_under_delay", q("SELECT * FROM health", o.policy_sql(extra="14.0"), o.DEAD, o.HEALTH))
+def _(b: Bed) -> DataFrame:
+    return health.inventory_health(b.t.sales, replenish.replenishment(*b.positions, policy=Policy(lead_time_extra_days=14.0)))
+
+
+@query("a13_service_level", q(f"""SELECT warehouse_id, product_id, safety_stock, reorder_point, order_up_to, suggested_order_qty,
+    {D('suggested_order_cost')} AS suggested_order_cost FROM repl""", o.policy_sql("1.959963984540054")))
+def _(b: Bed) -> DataFrame:
+    r = replenish.replenishment(*b.positions, policy=Policy(z=replenish.z_for(0.975)))
+    return r.select(*PAIR, "safety_stock", "reorder_point", "order_up_to", "suggested_order_qty", "suggested_order_cost")
+
+
 # ================================================================================================ served reads
 @query("h1_health_counts", q("""SELECT (SELECT COUNT(*) FROM sales) AS sales_rows, (SELECT COUNT(*) FROM products) AS products,
     (SELECT COUNT(*) FROM warehouses) AS warehouses"""))
@@ -717,6 +739,12 @@ def _(b: Bed) -> DataFrame:
     return served.kpis_of(b.t, "3", "LARGE")
 
 
+@query("h2_nothing_sold", q("""SELECT 0.0 AS total_sales, 0 AS units_sold, CAST(SUM(current_stock) AS BIGINT) AS total_stock,
+    COUNT(*) FILTER (WHERE current_stock <= reorder_level) AS low_stock_items FROM inventory WHERE warehouse_id = '3'"""))
+def _(b: Bed) -> DataFrame:
+    return served.kpis_of(b.t.with_(sales=b.t.sales.filter("order_date < DATE '1900-01-01'")), "3")
+
+
 @query("h3_alerts", q(f"""SELECT {o.ALERT_COLUMNS}, (SELECT COUNT(*) FROM alerts WHERE severity = 'Low' AND warehouse_id = '3') AS count
 FROM alerts WHERE severity = 'Low' AND warehouse_id = '3' ORDER BY {o.URGENT} LIMIT 100""", o.ALERTS))
 def _(b: Bed) -> DataFrame:
@@ -749,7 +777,14 @@ FROM fc WHERE product_id = (SELECT product_id FROM best)""", o.forecast_sql(30,
 def _(b: Bed) -> DataFrame:
     recent_units = F.coalesce(F.sum(F.when(F.col("order_date") > F.date_sub(kpis.last_day(b.t.sales), 28), F.col("quantity"))), F.lit(0))
     best = b.t.sales.groupBy("product_id").agg(recent_units.alias("u")).orderBy(F.desc("u"), "product_id").first()["product_id"]
-    return served.forecast_of(b.t, best)[0]
+    return forecast.product_forecast(b.t.sales, b.t.products, best)
+
+
+@query("h7_forecast_with_check", q(f"""SELECT * FROM
+(WITH {o.forecast_sql(30, 0)} SELECT product_id, day, {R('units', 2)} AS units FROM fc WHERE product_id = '1'),
+(WITH {o.backtest_sql(30)} {o.BACKTEST})"""))
+def _(b: Bed) -> DataFrame:
+    return served.forecast_with_check(b.t, "1").drop("total_units")
 
 
 @query("h8_product_policy", q(o.REPL_OUT + " WHERE product_id = '1'", o.REPL))
@@ -942,29 +977,60 @@ def _(b: Bed) -> DataFrame:
     return _rounded(ms.sales_by(b.t, ["warehouse_name", "product_name"]), 6, "gross_margin")
 
 
-LY_OUT = f"""SELECT {{by}}, a.period, {D('a.total_sales')} AS total_sales, {D('b.total_sales')} AS sales_ly,
-    {R(f"{D('a.total_sales - b.total_sales')} / NULLIF({D('b.total_sales')}, 0)", 6)} AS sales_yoy
-FROM lys a LEFT JOIN lys b ON a.{{key}} = b.{{key}} AND b.period + INTERVAL 1 YEAR = a.period {{extra}}"""
+YOY = R(f"{D('COALESCE(total_sales, 0) - sales_ly')} / NULLIF({D('sales_ly')}, 0)", 6)
+LY_OUT = f"SELECT * REPLACE ({D('total_sales')} AS total_sales, {D('sales_ly')} AS sales_ly), {YOY} AS sales_yoy FROM lys"
 
 
-@query("m5_m6_sales_last_year", q(LY_OUT.format(by="a.warehouse_name", key="warehouse_name", extra=""), o.last_year_sql(
-    "warehouse_name", "CAST(date_trunc('month', order_date) AS DATE)")))
+@query("m5_m6_sales_last_year", q(LY_OUT, o.last_year_sql("warehouse_name", "month")))
 def _(b: Bed) -> DataFrame:
     return _rounded(ms.sales_last_year(b.t, ["warehouse_name"]), 6, "sales_yoy")
 
 
-@query("m5_sales_last_year_daily", q(LY_OUT.format(by="a.category", key="category", extra="AND NOT (month(b.period) = 2 AND day(b.period) = 29)"),
-                                    o.last_year_sql("category", "order_date")))
+@query("m5_sales_last_year_daily", q(LY_OUT, o.last_year_sql("category", "day")))
 def _(b: Bed) -> DataFrame:
     return _rounded(ms.sales_last_year(b.t, ["category"], grain="day"), 6, "sales_yoy")
 
 
+@query("m5_last_year_in_1996", q(f"SELECT warehouse_name, strftime(period, '%b %Y') AS month, {D('sales_ly')} AS sales_ly FROM lys",
+                                 o.last_year_sql("warehouse_name", "month", "DATE '1996-01-01'", "DATE '1996-12-31'")))
+def _(b: Bed) -> DataFrame:
+    return ms.measure(b.t, "sales_ly", ["warehouse_name", "month"], ms.Filters(first_day="1996-01-01", last_day="1996-12-31"))
+
+
+@query("m5_by_year", q(f"SELECT CAST(year(period) AS BIGINT) AS year, category, {YOY} AS sales_yoy FROM lys", o.last_year_sql("category", "year")))
+def _(b: Bed) -> DataFrame:
+    return _rounded(ms.measure(b.t, "sales_yoy", ["year", "category"]), 6, "sales_yoy")
+
+
+@query("m5_only_last_year", q(f"SELECT product_id, period, {D('sales_ly')} AS sales_ly, {YOY} AS sales_yoy FROM lys WHERE total_sales IS NULL",
+                              o.last_year_sql("product_id", "month")))
+def _(b: Bed) -> DataFrame:
+    rows = ms.sales_last_year(b.t, ["product_id"]).filter("total_sales IS NULL")
+    return _rounded(rows.select("product_id", "period", "sales_ly", "sales_yoy"), 6, "sales_yoy")
+
+
 @query("m7_revenue_rank", q(f"""SELECT product_name, {D('s')} AS total_sales, RANK() OVER (ORDER BY s DESC) AS revenue_rank
 FROM (SELECT product_name, SUM(revenue) AS s FROM sales JOIN products USING (product_id) GROUP BY 1)"""))
 def _(b: Bed) -> DataFrame:
     return ms.revenue_rank(b.t)
 
 
+NAMES = "names AS (SELECT product_name, SUM(revenue) AS s FROM sales JOIN products USING (product_id) GROUP BY 1)"
+
+
+@query("m7_in_category", q("""SELECT product_name, r AS revenue_rank FROM (SELECT product_name, RANK() OVER (ORDER BY s DESC) AS r FROM names)
+WHERE product_name IN (SELECT product_name FROM products WHERE category IN ('LARGE', 'SMALL'))""", NAMES))
+def _(b: Bed) -> DataFrame:
+    return ms.measure(b.t, "revenue_rank", ["product_name"], ms.Filters(categories=["LARGE", "SMALL"]))
+
+
+@query("m7_by_warehouse_and_category", q("""SELECT warehouse_name, category, 1 + (SELECT COUNT(*) FROM names WHERE names.s > g.s) AS revenue_rank
+FROM (SELECT warehouse_name, category, SUM(revenue) AS s FROM sales JOIN products USING (product_id) JOIN warehouses USING (warehouse_id) GROUP BY 1, 2) g""",
+                                         NAMES))
+def _(b: Bed) -> DataFrame:
+    return ms.measure(b.t, "revenue_rank", ["warehouse_name", "category"])
+
+
 SM_OUT = f"""total_stock, reorder_level, opening_stock, units_sold, low_stock_items, {R('average_stock', 6)} AS average_stock, {R('stock_turnover', 6)} AS stock_turnover,
     {B('days_in_period')} AS days_in_period, {R('days_in_period / NULLIF(stock_turnover, 0)', 6)} AS days_of_inventory, reorder_status, {B('shortfall')} AS shortfall"""
 SM_DIGITS = ("average_stock", "stock_turnover", "days_of_inventory")
@@ -995,6 +1061,14 @@ def _(b: Bed) -> DataFrame:
     return _rounded(ms.movement_class(b.t), 6, "stock_turnover")
 
 
+@query("m17_in_category", q("""SELECT product_id,
+    CASE WHEN COALESCE(stock_turnover, 0) >= p75 THEN 'Fast' WHEN COALESCE(stock_turnover, 0) <= p25 THEN 'Slow' ELSE 'Medium' END AS movement_class
+FROM sm JOIN products USING (product_id), (SELECT quantile_cont(stock_turnover, 0.75) AS p75, quantile_cont(stock_turnover, 0.25) AS p25 FROM sm)
+WHERE category = 'LARGE'""", o.STOCKM, o.stock_measures("product_id")))
+def _(b: Bed) -> DataFrame:
+    return ms.measure(b.t, "movement_class", ["product_id"], ms.Filters(categories=["LARGE"]))
+
+
 @query("m18_dim_date", q("""SELECT CAST(day AS DATE) AS date, CAST(year(day) AS BIGINT) AS year, CAST(month(day) AS BIGINT) AS month_no, strftime(day, '%b %Y') AS month,
     CAST(year(day) * 100 + month(day) AS BIGINT) AS month_sort FROM cal""", o.DENSE))
 def _(b: Bed) -> DataFrame:

@@ -67,5 +67,5 @@ class Policy:
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select the canonical columns in order, with their canonical types."""
-    return df.select([df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
+    """Select the canonical columns in order, with their canonical types; a value that its type cannot hold is null."""
+    return df.select([df[f.name].try_cast(f.dataType).alias(f.name) for f in schema.fields])
