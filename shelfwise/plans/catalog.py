@@ -73,8 +73,7 @@ class Bed:
 
     @cached_property
     def labelled(self) -> DataFrame:
-        mapping = im.suggest_mapping(self.sales_export.columns, im.SALES_FIELDS)
-        return im.label_sales(self.sales_export, mapping, im.choose_date_rule(self.sales_export, F.col("`Bill Date`")))
+        return im.label_sales(im.Export.of(self.sales_export, "sales"), im.choose_date_rule(self.sales_export, F.col("`Bill Date`")))
 
     @cached_property
     def orders(self) -> DataFrame:
@@ -82,8 +81,7 @@ class Bed:
 
     @cached_property
     def master(self) -> DataFrame:
-        export = testbed.product_export(self.spark, self.sf_dir)
-        return im.product_master(export, im.suggest_mapping(export.columns, im.PRODUCT_FIELDS))
+        return im.product_master(im.Export.of(testbed.product_export(self.spark, self.sf_dir), "products"))
 
     @cached_property
     def sold(self) -> DataFrame:
@@ -91,17 +89,16 @@ class Bed:
 
     @cached_property
     def stock_labels(self) -> DataFrame:
-        export = testbed.stock_export(self.spark, self.sf_dir)
-        return im.label_stock(export, im.suggest_mapping(export.columns, im.STOCK_FIELDS))
+        return im.label_stock(im.Export.of(testbed.stock_export(self.spark, self.sf_dir), "stock"))
 
     @cached_property
-    def imported(self) -> tuple[Tables, im.ImportReport]:
-        tables, report = imports.import_data(
-            self.sales_export, stock_raw=testbed.stock_export(self.spark, self.sf_dir),
-            products_raw=testbed.product_export(self.spark, self.sf_dir))
-        if tables is None:
-            raise ValueError("; ".join(report.errors))
-        return tables, report
+    def imported(self) -> imports.Imported:
+        done = imports.import_data(
+            im.Export.of(self.sales_export, "sales"), im.Export.of(testbed.stock_export(self.spark, self.sf_dir), "stock"),
+            im.Export.of(testbed.product_export(self.spark, self.sf_dir), "products"))
+        if not done.ok:
+            raise ValueError(f"import failed: {done.findings.filter(F.col('kind') == imports.ERROR).collect()}")
+        return done
 
     def written(self, csv_only: bool = False) -> str:
         """Folder with the canonical tables as clean files."""
@@ -417,24 +414,35 @@ IMPORTED_POLICY = f"""levels AS (
 
 @query("i18_recommended_levels", q("SELECT * FROM levels", o.EXPORT, o.PEXP, o.SEXP, IMPORTED_POLICY))
 def _(b: Bed) -> DataFrame:
-    return b.imported[0].inventory
+    return b.imported.tables.inventory
 
 
-@query("i19_import_report", q("""SELECT reason, COUNT(*) AS rows FROM labelled WHERE reason IS NOT NULL GROUP BY 1
-UNION ALL SELECT 'duplicate order id', (SELECT COUNT(*) FROM kept) - (SELECT COUNT(*) FROM uniq)
-UNION ALL SELECT 'invalid stock rows', COUNT(*) FROM slab WHERE NOT COALESCE(stock >= 0, FALSE)
-UNION ALL SELECT 'rows in', COUNT(*) FROM exp UNION ALL SELECT 'rows out', COUNT(*) FROM uniq""", o.EXPORT, o.PEXP, o.SEXP))
+FINDINGS = {
+    "rows_in": "SELECT COUNT(*) FROM exp", "rows_out": "SELECT COUNT(*) FROM uniq",
+    "days": "SELECT MAX(order_date) - MIN(order_date) + 1 FROM uniq", "date_reading": "SELECT 0",
+    "derived_prices": "SELECT COUNT(*) FROM labelled WHERE reason IS NULL AND from_amount",
+    "shared_order_ids": "SELECT (SELECT COUNT(*) FROM kept) - (SELECT COUNT(*) FROM uniq)",
+    **{code: f"SELECT COUNT(*) FROM soldp WHERE {test}" for code, test in (
+        ("assumed_costs", "no_cost"), ("assumed_lead_times", "no_lead_time"), ("unlisted_products", "NOT in_master"), ("unpriced_products", "no_price"))},
+    "unsold_products": "SELECT COUNT(*) FROM unsold", "recommended_levels": "SELECT COUNT(*) FROM istock WHERE no_level",
+}
+ABOUT = {"date_reading": "format d/M/yyyy"}
+
+
+@query("i19_import_report", q(" UNION ALL ".join([
+    "SELECT 'dropped' AS kind, reason AS code, COUNT(*) AS rows, reason AS text FROM labelled WHERE reason IS NOT NULL GROUP BY ALL",
+    "SELECT 'dropped', 'invalid stock rows', COUNT(*), 'invalid stock rows' FROM slab WHERE NOT COALESCE(stock >= 0, FALSE)",
+    *[f"SELECT '{imports.TEXTS[code][0]}', '{code}', {B(f'({sql})')} AS n, '{imports.TEXTS[code][1]}{': ' + ABOUT[code] if code in ABOUT else ''}' "
+      f"WHERE n > 0 OR '{code}' IN ('rows_in', 'rows_out', 'days', 'date_reading')" for code, sql in FINDINGS.items()]]), o.EXPORT, o.PEXP, o.SEXP))
 def _(b: Bed) -> DataFrame:
-    r = b.imported[1]
-    rows = [*r.dropped.items(), ("rows in", r.rows_in), ("rows out", r.rows_out)]
-    return b.spark.createDataFrame(rows, "reason string, rows bigint")
+    return b.imported.findings
 
 
 @query("i20_import_data", q("""SELECT 'sales' AS table_name, COUNT(*) AS row_count FROM imported UNION ALL SELECT 'inventory', COUNT(*) FROM istock
 UNION ALL SELECT 'products', (SELECT COUNT(*) FROM soldp) + (SELECT COUNT(*) FROM unsold)
 UNION ALL SELECT 'restocks', CAST(0 AS BIGINT) UNION ALL SELECT 'warehouses', COUNT(*) FROM (""" + PLACES + ")", o.EXPORT, o.PEXP, o.SEXP))
 def _(b: Bed) -> DataFrame:
-    return _counts(b.imported[0])
+    return _counts(b.imported.tables)
 
 
 STORE_ITEMS = """demand AS (SELECT day AS date, w AS store, p AS item, SUM(CASE WHEN flag <> 'R' THEN qty ELSE 0 END) AS units FROM lines GROUP BY 1, 2, 3)"""

@@ -5,17 +5,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.ordering import number_rows
-from shelfwise.operators.importing import ImportDefaults
+from shelfwise.operators.importing import Fallbacks
 from shelfwise.schemas import INVENTORY, PRODUCTS, RESTOCKS, SALES, WAREHOUSES, Tables, conform
 
 # Product categories, chosen by item number.
 CATEGORIES = ("Beverages", "Snacks", "Household", "Personal Care", "Staples")
 
 
-def adapt_store_items(demand: DataFrame, n_items: int | None = None, defaults: ImportDefaults = ImportDefaults()) -> Tables:
+def adapt_store_items(demand: DataFrame, n_items: int | None = None, fallbacks: Fallbacks = Fallbacks()) -> Tables:
     """Stores become warehouses, items products, and every date with units an order line.
 
-    The data has no prices, costs or lead times: the import defaults stand in (price 1). It has no stock and no receipts.
+    The data has no prices, costs or lead times: the import fallbacks stand in (price 1). It has no stock and no receipts.
     """
     spark = demand.sparkSession
     d = demand.toDF(*[c.lower() for c in demand.columns])
@@ -30,8 +30,8 @@ def adapt_store_items(demand: DataFrame, n_items: int | None = None, defaults: I
     names = F.array(*[F.lit(c) for c in CATEGORIES])
     products = d.select("item").distinct().select(
         product.alias("product_id"), F.format_string("Item %03d", F.col("item")).alias("product_name"),
-        names[F.col("item") % len(CATEGORIES)].alias("category"), F.lit(defaults.cost_to_price_ratio).alias("unit_cost"),
-        F.lit(1.0).alias("unit_price"), F.lit(defaults.lead_time_days).alias("lead_time_days"))
+        names[F.col("item") % len(CATEGORIES)].alias("category"), F.lit(fallbacks.cost_share).alias("unit_cost"),
+        F.lit(1.0).alias("unit_price"), F.lit(fallbacks.lead_days).alias("lead_time_days"))
     lines = number_rows(d.filter(F.col("units") > 0), [F.col(c).asc() for c in ("date", "store", "item")], "line", "store-items")
     sales = lines.select(
         F.format_string("K%07d", F.col("line")).alias("order_id"), F.col("date").alias("order_date"), place.alias("warehouse_id"),
