@@ -5,11 +5,14 @@ and no join carries raw order lines.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import half_up, positive, ratio
-from shelfwise.functions.ordering import number_rows, running_totals, tile
+from shelfwise.functions.ordering import number_rows, running_totals
+from shelfwise.functions.staging import stage
 from shelfwise.schemas import PAIR
 
 # Severity bands in days of stock left.
@@ -70,15 +73,41 @@ def opening_stock(restocks: DataFrame) -> DataFrame:
     return restocks.groupBy(*PAIR).agg(F.min_by("quantity", arrival).alias("opening_stock"))
 
 
+def quartile_labels(df: DataFrame, keys: list[str], nulls_first: bool = False) -> DataFrame:
+    """Add movement_class: Fast and Slow for the first and the last of four equal tiles by turnover, largest first, Medium between.
+
+    Turnover is rounded, so rows are counted per value; a value that lies within one class gives its rows that class, and only the
+    rows of a value that a border runs through are put in order. Rows without turnover are left `n/a`, or come first if so asked.
+    """
+    value = F.col("stock_turnover")
+    order = [F.col("_value").desc_nulls_first()] if nulls_first else [F.col("_value").desc()]
+    rated = df if nulls_first else df.filter(value.isNotNull())
+    counts = rated.groupBy(value.alias("_value")).agg(F.count("*").alias("_n"))
+    upto = running_totals(counts, order, {"_upto": F.col("_n")}, "turnover-values")
+    size, extra = F.floor(F.col("_upto_total") / 4), F.col("_upto_total") % 4
+    placed = upto.select("_value", (F.col("_upto") - F.col("_n")).alias("_before"), "_upto", (size + F.least(extra, F.lit(1))).alias("_fast"),
+                         (F.col("_upto_total") - size).alias("_rest"))
+    whole = (F.when(F.col("_upto") <= F.col("_fast"), "Fast").when(F.col("_before") >= F.col("_rest"), "Slow")
+             .when((F.col("_before") >= F.col("_fast")) & (F.col("_upto") <= F.col("_rest")), "Medium"))
+    valued = stage(placed.withColumn("_class", whole), "turnover-classes")
+    joined = df.join(valued, value.eqNullSafe(F.col("_value")) if nulls_first else value == F.col("_value"), "left")
+
+    border = valued.filter("_class IS NULL")
+    split = df.join(border, value.eqNullSafe(F.col("_value"))).select(*keys, "_value", "_before", "_fast", "_rest")
+    numbered = number_rows(split, [*order, *[F.col(k).asc() for k in keys]], "_at", "turnover-border")
+    starts = numbered.groupBy("_value").agg((F.min("_at") - 1).alias("_first"))
+    ranked = numbered.join(starts, numbered["_value"].eqNullSafe(starts["_value"]))
+    rank = F.col("_before") + F.col("_at") - F.col("_first")
+    single = F.when(rank <= F.col("_fast"), "Fast").when(rank > F.col("_rest"), "Slow").otherwise("Medium")
+    ordered = ranked.select(*[F.col(k).alias(f"_k_{k}") for k in keys], single.alias("_single"))
+    match = [joined[k].eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    labelled = joined.join(ordered, reduce(Column.__and__, match), "left")
+    return labelled.select(*df.columns, F.coalesce("_class", "_single", F.lit("n/a")).alias("movement_class"))
+
+
 def movement_classes(df: DataFrame, keys: list[str]) -> DataFrame:
     """Fast / Medium / Slow by quartile of turnover over the rows that have one, `n/a` for the others."""
-    rated = F.col("stock_turnover").isNotNull().cast("bigint")
-    order = [F.col("stock_turnover").desc_nulls_last(), *[F.col(k).asc() for k in keys]]
-    placed = running_totals(df, order, {"_rank": rated}, "turnover")
-    quartile = tile(F.col("_rank"), F.col("_rank_total"), 4)
-    label = (F.when(F.col("stock_turnover").isNull(), "n/a").when(quartile == 1, "Fast")
-             .when(quartile == 4, "Slow").otherwise("Medium"))
-    return placed.withColumn("movement_class", label).drop("_rank", "_rank_total")
+    return quartile_labels(stage(df, "turnover"), keys)
 
 
 def turnover_base(sales: DataFrame, inventory: DataFrame, restocks: DataFrame, products: DataFrame,
@@ -130,11 +159,7 @@ def stock_turnover_view(sales: DataFrame, inventory: DataFrame, restocks: DataFr
 
 def stock_turnover_classified(sales: DataFrame, inventory: DataFrame, restocks: DataFrame, products: DataFrame) -> DataFrame:
     """The reporting view with its quartile classes."""
-    view = stock_turnover_view(sales, inventory, restocks, products)
-    order = [F.col("stock_turnover").desc_nulls_first(), *[F.col(k).asc() for k in PAIR]]
-    quartile = tile(F.col("_rank"), F.col("_rank_total"), 4)
-    label = F.when(quartile == 1, "Fast").when(quartile == 4, "Slow").otherwise("Medium")
-    return number_rows(view, order, "_rank", "turnover").withColumn("movement_class", label).drop("_rank", "_rank_total")
+    return quartile_labels(stage(stock_turnover_view(sales, inventory, restocks, products), "turnover"), PAIR, nulls_first=True)
 
 
 # ------------------------------------------------------------------------------------------------ alerts
