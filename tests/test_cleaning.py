@@ -130,3 +130,15 @@ def test_json_records(spark):
     df = spark.createDataFrame([(1.5, day("2025-01-02")), (float("nan"), None), (float("inf"), day("2025-01-03"))], "x double, d date")
     assert sorted(r.record for r in files.json_records(df).collect()) == sorted([
         '{"x":1.5,"d":"2025-01-02T00:00:00"}', '{"x":null,"d":null}', '{"x":null,"d":"2025-01-03T00:00:00"}'])
+
+
+def test_cells_that_no_column_holds(spark, tables):
+    rows = [("1", "2025-01-01", "W1", "A", "99999999999", "$2.00"), ("2", "2025-01-01", "W1", "A", "3", "999999999.5"),
+            ("3", "2025-01-01", "W1", "A", "2000000000", "99999999"), ("4", "2025-01-01", "W1", "A", "1", "$2.00")]
+    sales, report = cleaning.clean_sales(spark.createDataFrame(rows, SALES_TEXT), tables.products, tables.warehouses)
+    r = report.first()
+    # too many units and too much revenue make a row invalid; a price too large counts as missing
+    assert (r.rows_in, r.prices_filled_from_master, r.invalid_rows_dropped, r.rows_out) == (4, 1, 2, 2)
+    assert sorted((x.order_id, x.quantity, float(x.revenue)) for x in sales.collect()) == [("2", 3, 6.0), ("4", 1, 2.0)]
+    stock = spark.createDataFrame([("W1", "A", "99999999999", "5")], "warehouse_id string, product_id string, current_stock string, reorder_level string")
+    assert cleaning.clean_inventory(stock, tables.products, tables.warehouses).first().current_stock is None
