@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import datetime as dt
 import os
 import sys
 
@@ -8,8 +7,11 @@ import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from shelfwise.schemas import INVENTORY, PRODUCTS, RESTOCKS, SALES, WAREHOUSES, Tables, conform  # noqa: E402
+from builders import day, frame  # noqa: E402
+
+from shelfwise.schemas import INVENTORY, PRODUCTS, RESTOCKS, SALES, WAREHOUSES, Tables  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -22,16 +24,6 @@ def spark():
     session.stop()
 
 
-def day(text: str) -> dt.date:
-    return dt.date.fromisoformat(text)
-
-
-def frame(spark, schema, rows):
-    """A canonical table from rows with plain numbers."""
-    names = ", ".join(f"{f.name} {'double' if 'decimal' in f.dataType.simpleString() else f.dataType.simpleString()}" for f in schema.fields)
-    return conform(spark.createDataFrame(rows, names), schema)
-
-
 @pytest.fixture(scope="session")
 def tables(spark):
     return Tables(
@@ -44,22 +36,3 @@ def tables(spark):
             ("1", day("2025-01-01"), "W1", "A", 10, 2.0, 20.0), ("2", day("2025-01-15"), "W1", "A", 20, 2.0, 40.0),
             ("3", day("2025-02-01"), "W1", "B", 5, 3.0, 15.0), ("4", day("2025-02-10"), "W1", "C", 1, 4.0, 4.0),
             ("5", day("2025-02-10"), "W2", "A", 6, 2.0, 12.0), ("6", day("2025-02-11"), "W2", "B", 3, 3.0, 9.0)]))
-
-
-def daily_sales(spark, units_of: dict, days: int, start: str = "2025-01-01"):
-    """Sales of one warehouse from functions day index -> units."""
-    first = day(start)
-    rows = [(f"{p}{i}", first + dt.timedelta(days=i), "W1", p, q, 2.0, 2.0 * q)
-            for p, f in units_of.items() for i in range(days) if (q := f(i)) > 0]
-    return frame(spark, SALES, rows)
-
-
-def market_day(i: int) -> int:
-    """Eight times as much on Wednesdays."""
-    return 24 if (day("2025-01-01") + dt.timedelta(days=i)).weekday() == 2 else 3
-
-
-def by(df, *keys):
-    """Collected rows by key."""
-    rows = df.collect()
-    return {tuple(r[k] for k in keys) if len(keys) > 1 else r[keys[0]]: r for r in rows}

@@ -1,5 +1,5 @@
 import pytest
-from conftest import day
+from builders import day
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import format_date, parse_date, title_case, to_number

@@ -1,4 +1,4 @@
-from conftest import by
+from builders import by
 
 from shelfwise.operators import kpis, served
 from shelfwise.operators import summaries as su

@@ -1,6 +1,6 @@
 """Measures off the plain path: wrong grains and filters end in clear errors."""
 import pytest
-from conftest import by
+from builders import by
 
 from shelfwise.operators import measures as ms
 
