@@ -6,9 +6,11 @@ documents fill their sketch too. Registers are cut into bands; documents that ag
 linked if its full sets reach the threshold; before that, pairs are dropped whose set sizes rule it out, or whose Jaccard
 estimate from the registers, corrected for chance collisions, is below a floor far under the threshold.
 
-No group is ever expanded into all its pairs. Equal sets collapse to one class first. In every band bucket, the classes are
-compared with a leader, in three rounds with other leaders (the smallest id, then two drawn per bucket), and linked classes become
-one component. Only pairs of a bucket that are still in different components after that are compared one by one, so no link
+No group is ever expanded into rows for all its pairs. Equal sets collapse to one class first. In every band bucket, the classes
+are compared with a leader (the smallest id; in further rounds, if asked for, one drawn per bucket), and linked classes become
+one component. What is left are classes of a bucket in different components. In small buckets these meet as pairs. In
+large ones they are compared block against block inside tasks, by products of shingle incidence matrices, and only a spanning
+forest of the links found comes out; overlapping large buckets are compared as one group where that is less work. So no link
 between components is missed that shares a bucket. With 32 bands of 4 registers a pair at the threshold misses every bucket
 with probability below 1e-10.
 
@@ -39,7 +41,12 @@ BAND = 4
 BANDS = BUCKETS // BAND
 #: Below so many shingles the registers repeat each other, and the estimate is not used.
 ESTIMATE_FROM = 256
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 1
+#: Open classes of a bucket up to which they meet as pairs; shingles and rows in a block of a larger group; columns of a product.
+SMALL_BUCKET = 16
+BLOCK_SHINGLES = 1 << 20
+BLOCK_ROWS = 2000
+COLUMNS = 2048
 
 _PROBES = np.argsort(np.random.default_rng(23).random((BUCKETS, BUCKETS)), axis=1)
 _EDGES = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
@@ -162,6 +169,96 @@ def _leader(number: int) -> Column:
     return F.min(F.struct(draw.alias("draw"), F.col("rep"), F.col("component")))
 
 
+def intersections(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of `one` with every set of `two`."""
+    values = np.concatenate([*one, *two])
+    row = np.repeat(np.arange(len(one) + len(two)), [len(x) for x in (*one, *two)])
+    _, column, found = np.unique(values, return_inverse=True, return_counts=True)
+    shared = found > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(one), len(two)), np.float32)
+    for a in range(0, int(shared.sum()), COLUMNS):
+        piece = slice(*np.searchsorted(column, (a, a + COLUMNS)))
+        dense = np.zeros((len(one) + len(two), COLUMNS), np.float32)
+        dense[row[piece], column[piece] - a] = 1
+        out += dense[:len(one)] @ dense[len(one):].T
+    return out.astype(np.int64)
+
+
+def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric boolean matrix."""
+    seen, out = np.zeros(len(linked), bool), []
+    for root in range(len(linked)):
+        front = np.zeros(0, np.int64) if seen[root] else np.array([root])
+        seen[root] = True
+        while len(front):
+            rows = linked[front]
+            new = np.flatnonzero(rows.any(axis=0) & ~seen)
+            out += [(int(front[parent]), int(child)) for parent, child in zip(rows[:, new].argmax(axis=0), new)]
+            seen[new] = True
+            front = new
+    return out
+
+
+def _compare_blocks(limit: Threshold) -> Callable:
+    def compare(table: pa.Table) -> pa.Table:
+        """Links between the classes of two blocks of a group (or within one), as a spanning forest."""
+        rows = table.select(["rep", "component", "block", "shingles"]).to_pylist()
+        low = min(r["block"] for r in rows)
+        one = [r for r in rows if r["block"] == low]
+        two = [r for r in rows if r["block"] != low]
+        if not two and table.column("low")[0].as_py() != table.column("high")[0].as_py():
+            one, two = [], []
+        edges: list[tuple[int, int]] = []
+        if one:
+            two = two or one
+            sets = [[np.frombuffer(r["shingles"], np.uint64) for r in side] for side in (one, two)]
+            sizes = [np.array([len(s) for s in side]) for side in sets]
+            both = intersections(*sets)
+            apart = np.array([r["component"] for r in one])[:, None] != np.array([r["component"] for r in two])[None, :]
+            linked = (100 * both >= limit.percent * (sizes[0][:, None] + sizes[1][None, :] - both)) & apart
+            if two is not one:
+                square = np.zeros((len(rows), len(rows)), bool)
+                square[:len(one), len(one):], square[len(one):, :len(one)] = linked, linked.T
+                linked = square
+            members = one if two is one else [*one, *two]
+            edges = [(members[i]["rep"], members[j]["rep"]) for i, j in spanning(linked)]
+        return pa.table([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    return compare
+
+
+def _large_groups(rows: DataFrame) -> DataFrame:
+    """(grp, rep, component) of large open buckets: a cluster of overlapping buckets where all its pairs are fewer, else the bucket."""
+    heads = rows.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n"))
+    joined = rows.join(heads, "key")
+    clusters = components(joined.select(F.col("rep").alias("u"), F.col("head").alias("v"))).withColumnRenamed("component", "cluster")
+    named = heads.join(clusters, F.col("head") == F.col("node"), "left").select("key", "n", F.coalesce("cluster", "head").alias("cluster"))
+    placed = rows.join(named, "key")
+    work = named.groupBy("cluster").agg(F.sum(F.col("n") * F.col("n")).alias("_by_bucket"))
+    size = placed.groupBy("cluster").agg(F.count_distinct("rep").alias("_members"))
+    cheaper = work.join(size, "cluster").select(F.col("cluster").alias("_c"), (F.col("_members") * F.col("_members") <= F.col("_by_bucket")).alias("_one"))
+    joined = placed.join(cheaper, F.col("cluster") == F.col("_c"))
+    group = F.when(F.col("_one"), F.struct(F.lit(0).cast("bigint").alias("kind"), F.col("cluster").alias("id")))
+    return joined.select(group.otherwise(F.struct(F.lit(1).cast("bigint").alias("kind"), F.col("key").alias("id"))).alias("grp"),
+                         "rep", "component").distinct()
+
+
+def _linked_in_groups(groups: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+    """Links (u, v) within groups, compared in blocks of bounded size."""
+    sized = groups.join(sets, "rep").withColumn("n", F.octet_length("shingles") / 8)
+    parts = sized.groupBy("grp").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_ROWS)).alias("parts"))
+    placed = sized.join(parts, "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("other")
+    met = placed.select("grp", "rep", "component", "shingles", "block", other)
+    met = met.select("grp", "rep", "component", "shingles", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return met.groupBy("grp", "low", "high").applyInArrow(_compare_blocks(limit), "u bigint, v bigint")
+
+
 def _mixed(bands: DataFrame, found: DataFrame | None) -> DataFrame:
     """Bucket rows (key, rep, component) of buckets that hold more than one component."""
     if found is None:
@@ -173,6 +270,21 @@ def _mixed(bands: DataFrame, found: DataFrame | None) -> DataFrame:
     return labelled.join(span.select("key"), "key")
 
 
+def _joined(edges: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if edges is None else edges.unionAll(more)
+
+
+def _same_document(rows: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links (u, v) between the classes of rows that share a doc_id, which are one document; none where every id has one text."""
+    several = rows.groupBy("doc_id").agg(F.min("digest").alias("_low"), F.max("digest").alias("_high")).filter("_low < _high").select("doc_id")
+    several = stage(several, "near-repeated-ids")
+    if several.isEmpty():
+        return None
+    of_rows = rows.join(several, "doc_id").join(classes.select("digest", "rep"), "digest")
+    heads = of_rows.groupBy("doc_id").agg(F.min("rep").alias("v"))
+    return stage(of_rows.join(heads, "doc_id").select(F.col("rep").alias("u"), "v").filter("u <> v"), "near-repeated")
+
+
 def sketch(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, digest, registers) of every document; digest and registers are null without words."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
@@ -191,11 +303,8 @@ def near_duplicates(docs: DataFrame, limit: Threshold = Threshold()) -> DataFram
     texts = docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "rep", "left_semi")
     sets = stage(texts.mapInArrow(_sets, "rep bigint, shingles binary"), "near-sets")
 
-    # rows that share a doc_id are one document
-    links = whole.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").filter("doc_id <> rep")
-    links = links.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    repeated = stage(links.join(classes.select(F.col("rep").alias("u")), "u", "left_semi"), "near-repeated")
-    edges, found = repeated, components(repeated)
+    edges = _same_document(whole, classes)
+    found = None if edges is None else components(edges)
     for number in range(LEADER_ROUNDS + 1):
         open_rows = stage(_mixed(bands, found), f"near-open-{number}")
         if open_rows.isEmpty():
@@ -205,15 +314,25 @@ def near_duplicates(docs: DataFrame, limit: Threshold = Threshold()) -> DataFram
             across = open_rows.join(heads, "key").filter("component <> lead.component")
             pairs = across.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"))
         else:
-            other = open_rows.select("key", F.col("rep").alias("b"), F.col("component").alias("component_b"))
-            pairs = open_rows.select("key", F.col("rep").alias("a"), "component").join(other, "key")
+            counted = open_rows.groupBy("key").agg(F.count("*").alias("_n"))
+            counted = stage(open_rows.join(counted, "key"), "near-open-sized")
+            large = counted.filter(F.col("_n") > SMALL_BUCKET).drop("_n")
+            if not large.isEmpty():
+                in_groups = _linked_in_groups(stage(_large_groups(large), "near-groups"), sets, limit)
+                edges = _joined(edges, stage(in_groups, "near-group-links"))
+            small = counted.filter(F.col("_n") <= SMALL_BUCKET)
+            other = small.select("key", F.col("rep").alias("b"), F.col("component").alias("component_b"))
+            pairs = small.select("key", F.col("rep").alias("a"), "component").join(other, "key")
             pairs = pairs.filter("a < b and component <> component_b").select("a", "b")
         new = _verified(stage(pairs.distinct(), f"near-pairs-{number}"), classes, sets, limit)
         new = stage(new.select(F.col("a").alias("u"), F.col("b").alias("v")), f"near-links-{number}")
-        edges = edges.unionAll(new)
+        edges = _joined(edges, new)
         found = components(edges)
 
-    known = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    if found is None:
+        known = classes.select("digest", "rep", F.col("rep").alias("component"))
+    else:
+        known = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select(F.col("digest").alias("_digest"), F.coalesce("component", "rep").alias("component_id"))
     joined = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     joined = joined.join(known, F.col("digest") == F.col("_digest"), "left")
