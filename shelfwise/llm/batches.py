@@ -1,4 +1,8 @@
-"""Documents packed into rows of a few megabytes, as units that later rounds return to."""
+"""Documents packed into batches of a few megabytes, as units that later rounds return to.
+
+A batch is several rows of less than half a megabyte each (a longer document is a row of its own), since executors handle
+many such values with less memory than a few large ones.
+"""
 from __future__ import annotations
 
 from collections.abc import Iterator
@@ -13,19 +17,36 @@ from shelfwise.llm.shingles import buffers, pieces
 from shelfwise.llm.text import whole
 
 BATCH_BYTES = 4 << 20
+ROW_BYTES = 400 << 10
 BATCHES = "batch bigint, ids binary, known binary, offsets binary, text binary, size bigint"
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 32
-    for batch in (piece for every in batches for piece in pieces(every, limit=BATCH_BYTES)):
+    number, size = TaskContext.get().partitionId() << 32, 0
+    for batch in (piece for every in batches for piece in pieces(every, limit=ROW_BYTES)):
         data, offsets = buffers(batch.column(1))
         ids = batch.column(0)
+        if size + len(data) > BATCH_BYTES and size:
+            number, size = number + 1, 0
+        size += len(data)
         yield pa.RecordBatch.from_pydict({
             "batch": [number], "ids": [ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()],
             "known": [ids.is_valid().to_numpy(zero_copy_only=False).tobytes()], "offsets": [offsets.astype(np.int64).tobytes()],
             "text": [data.tobytes()], "size": [len(data)]})
-        number += 1
+
+
+def by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows of a task that belong to one batch; a batch that is cut by tasks comes in parts."""
+    held: list[dict] = []
+    for many in batches:
+        for i in range(len(many)):
+            row = many.slice(i, 1).to_pylist()[0]
+            if held and held[0]["batch"] != row["batch"]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
 
 def text_batches(docs: DataFrame, label: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.staging import stage
-from shelfwise.llm.batches import opened, text_batches
+from shelfwise.llm.batches import by_batch, opened, text_batches
 from shelfwise.llm.shingles import GAP, LOWER, VALUE, inverse, mix64, powers, word_hashes, word_places
 
 HELD_OUT = 10
@@ -42,7 +42,8 @@ SEGMENT_BITS = 15
 #: A word so far is hashed over this many bytes at most.
 REACH = 32
 CHUNK = 1 << 19
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 8 << 20
+EVENTS_AT_ONCE = 1 << 17
 GATES = 8 * (ORDERS + 1) * 2
 STEPS, MAP_CELLS = 1024, 33
 RATE, MAP_RATE, PRIOR = 0.5, 0.02, 0.4
@@ -232,21 +233,23 @@ def _schema(text: str) -> pa.Schema:
 
 def _counter(shards: int) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for many in batches:
-            for i in range(len(many)):
-                row = many.slice(i, 1).to_pylist()[0]
-                ids, known, offsets, data = opened(row)
+        for rows in by_batch(batches):
+            found, seen, words, strings = [], [], {}, []
+            for ids, known, offsets, data in map(opened, rows):
                 train = np.array([not held_out(x if k else None) for x, k in zip(ids.tolist(), known.tolist())])
                 hashes, doc = word_hashes(data, offsets)
                 distinct, counts, one = _summed(hashes, train[doc].astype(np.int64) if len(doc) else np.zeros(0, np.int64))
                 starts, stops = word_places(data, offsets)
                 text = LOWER[data].tobytes()
-                words = [text[a:b] if c else b"" for a, b, c in zip(starts[one].tolist(), stops[one].tolist(), counts.tolist())]
-                out = _shard_rows(WORD, row["batch"], distinct, counts, words, shards)
-                parts = [_summed(e.code[train[e.doc]], np.ones(int(train[e.doc].sum()), np.int64))[:2] for e in events(data, offsets)]
-                codes, counts, _ = _summed(*[np.concatenate(x) for x in zip(*parts)])
-                out += _shard_rows(GRAM, row["batch"], codes, counts, [], shards)
-                yield _batch_rows(out, _schema(ENTRIES))
+                learned = np.flatnonzero(counts)
+                words.update((h, text[a:b]) for h, a, b in zip(distinct[learned].tolist(), starts[one[learned]].tolist(), stops[one[learned]].tolist()))
+                found.append(distinct)
+                seen.append(counts)
+                strings += [_summed(e.code[train[e.doc]], np.ones(int(train[e.doc].sum()), np.int64))[:2] for e in events(data, offsets)]
+            distinct, counts, _ = _summed(np.concatenate(found), np.concatenate(seen))
+            out = _shard_rows(WORD, rows[0]["batch"], distinct, counts, [words.get(h, b"") for h in distinct.tolist()], shards)
+            codes, counts, _ = _summed(*[np.concatenate(x) for x in zip(*strings)])
+            yield _batch_rows(out + _shard_rows(GRAM, rows[0]["batch"], codes, counts, [], shards), _schema(ENTRIES))
 
     return count
 
@@ -310,15 +313,39 @@ def _gram_prefix(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _prefix_mark(sums, length), length < ORDERS
 
 
-def _examples(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Events of a totals row: code, word so far, count, whether the six bytes are the event's own, whether it is an example."""
+def _examples(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Events of a totals row: code, word so far, count, whether it is an example for the mixer."""
     counts = np.frombuffer(row["counts"], np.int64)
     if row["kind"] == GRAM:
         code = np.frombuffer(row["hashes"], U)
         prefix, starts = _gram_prefix(code)
-        return code, prefix, counts, np.ones(len(code), bool), starts
+        return code, prefix, counts, starts
     code, prefix, weights, place = _word_events(row["words"], np.frombuffer(row["lengths"], np.uint32), counts)
-    return code, prefix, weights, np.zeros(len(code), bool), place >= ORDERS
+    return code, prefix, weights, place >= ORDERS
+
+
+def _slot_counts(context: np.ndarray, code: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct slots with their zeros and ones, over all bits of some events."""
+    byte, node = (code & U(0xFF)).astype(np.int64), np.ones(len(code), np.int64)
+    keys, zeros, ones = [], [], []
+    for position in range(8):
+        bit = (byte >> (7 - position)) & 1
+        for line in context:
+            keys.append(slots(line, node))
+            zeros.append(counts * (1 - bit))
+            ones.append(counts * bit)
+        node = node * 2 + bit
+    return _slot_sums(keys, zeros, ones)
+
+
+def _slot_sums(keys: list, zeros: list, ones: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    every = np.concatenate(keys).astype(np.uint32)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    heads = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+    if not len(heads):
+        return every, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return every[heads], *(np.add.reduceat(np.concatenate(x)[order], heads) for x in (zeros, ones))
 
 
 def _contribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,28 +353,19 @@ def _contribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for many in batches:
         for i in range(len(many)):
             row = many.slice(i, 1).to_pylist()[0]
-            code, prefix, counts, _, _ = _examples(row)
-            context = contexts(code, prefix)
-            context = context[:ORDERS] if row["kind"] == GRAM else context[ORDERS:]
-            byte, node = (code & U(0xFF)).astype(np.int64), np.ones(len(code), np.int64)
-            keys, zeros, ones = [], [], []
-            for position in range(8):
-                bit = (byte >> (7 - position)) & 1
-                for line in context:
-                    key, n, one = _summed(slots(line, node), counts)
-                    # ones of a slot: summed with the same order of distinct slots
-                    found = np.searchsorted(key, slots(line, node))
-                    keys.append(key)
-                    ones.append(np.bincount(found, counts * bit, len(key)).astype(np.int64))
-                    zeros.append(n - ones[-1])
-                node = node * 2 + bit
-            key, _, _ = _summed(np.concatenate(keys), np.concatenate(zeros))
-            at = np.searchsorted(key, np.concatenate(keys))
-            zero, one = (np.bincount(at, np.concatenate(x), len(key)).astype(np.int64) for x in (zeros, ones))
-            segment = (key >> U(8 + SEGMENT_BITS)).astype(np.int64)
-            cuts = np.searchsorted(segment, np.arange((1 << TABLE_BITS - SEGMENT_BITS) + 1))
-            yield _batch_rows([(s, key[a:b].astype(np.uint32).tobytes(), zero[a:b].tobytes(), one[a:b].tobytes())
-                               for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a], _schema(SLOTS))
+            code, prefix, counts, _ = _examples(row)
+            parts = []
+            for a in range(0, len(code), EVENTS_AT_ONCE):
+                piece = slice(a, a + EVENTS_AT_ONCE)
+                context = contexts(code[piece], prefix[piece])
+                context = context[:ORDERS] if row["kind"] == GRAM else context[ORDERS:]
+                parts.append(_slot_counts(context, code[piece], counts[piece]))
+            if parts:
+                key, zeros, ones = _slot_sums(*zip(*parts))
+                segment = key >> np.uint32(8 + SEGMENT_BITS)
+                cuts = np.searchsorted(segment, np.arange((1 << TABLE_BITS - SEGMENT_BITS) + 1))
+                yield _batch_rows([(s, key[a:b].tobytes(), zeros[a:b].tobytes(), ones[a:b].tobytes())
+                                   for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a], _schema(SLOTS))
 
 
 def _fill(table: pa.Table) -> pa.Table:
@@ -371,7 +389,7 @@ def _learner(shared) -> Callable:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for many in batches:
             for i in range(len(many)):
-                code, prefix, counts, _, chosen = _examples(many.slice(i, 1).to_pylist()[0])
+                code, prefix, counts, chosen = _examples(many.slice(i, 1).to_pylist()[0])
                 order = np.random.default_rng(5).permutation(np.flatnonzero(chosen))
                 checks, zeros, ones = shared.value
                 model, tally = Model(checks, zeros, ones, *fresh()), [np.zeros(GATES), np.zeros((GATES, MAP_CELLS))]

@@ -25,15 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.staging import stage
-from shelfwise.llm.batches import opened, text_batches
+from shelfwise.llm.batches import by_batch, opened, text_batches
 from shelfwise.llm.shingles import VALUE, mix64, powers
 
 SPAN = 50
 KEY = 24
 WIDTH = SPAN - KEY + 1
 #: Bytes hashed at once, and bytes of text whose samples make a shard.
-CHUNK = 1 << 20
-SHARD_BYTES = 24 << 20
+CHUNK = 1 << 19
+SHARD_BYTES = 8 << 20
 #: Rounds of the family: sampled suffixes, stretches of spans around a sample, single spans.
 SAMPLE, STRETCH, SINGLE = range(3)
 
@@ -203,27 +203,28 @@ def _judge(scan: Scan, ids: np.ndarray, known: list[Entries]) -> tuple[np.ndarra
     return settled, np.flatnonzero(active & ~settled & (same < pairs))
 
 
-def _entries(row: dict, known: list[Entries], step: int) -> Entries:
+def _entries(rows: list[dict], known: list[Entries], step: int) -> Entries:
     """A batch's entries of a round."""
-    ids, has_id, offsets, data = opened(row)
     parts = []
-    for scan in scans(data, offsets):
-        usable = has_id[scan.doc]
-        doc = ids[scan.doc]
-        if step == SAMPLE:
-            pick = np.flatnonzero(usable)
-            one = pick[_distinct(scan.key[pick], scan.stretch[pick], doc[pick])]
-            parts.append((scan.key[one], doc[one]))
-        elif step == STRETCH:
-            pick = np.flatnonzero(usable & known[SAMPLE].find(scan.key)[0])
-            one = pick[_distinct(scan.stretch[pick], doc[pick])]
-            parts.append((scan.stretch[one], doc[one]))
-        else:
-            _, asked = _judge(scan, ids, known)
-            of, nth = scan.singles(asked[usable[asked]])
-            hashes, doc = scan.span_hashes(of, nth), doc[of]
-            one = _distinct(hashes, doc)
-            parts.append((hashes[one], doc[one]))
+    for ids, has_id, offsets, data in map(opened, rows):
+        for scan in scans(data, offsets):
+            usable = has_id[scan.doc]
+            doc = ids[scan.doc]
+            if step == SAMPLE:
+                pick = np.flatnonzero(usable)
+                one = pick[_distinct(scan.key[pick], scan.stretch[pick], doc[pick])]
+                # who holds a sample first is not asked
+                parts.append((scan.key[one], np.zeros(len(one), np.int64)))
+            elif step == STRETCH:
+                pick = np.flatnonzero(usable & known[SAMPLE].find(scan.key)[0])
+                one = pick[_distinct(scan.stretch[pick], doc[pick])]
+                parts.append((scan.stretch[one], doc[one]))
+            else:
+                _, asked = _judge(scan, ids, known)
+                of, nth = scan.singles(asked[usable[asked]])
+                hashes, doc = scan.span_hashes(of, nth), doc[of]
+                one = _distinct(hashes, doc)
+                parts.append((hashes[one], doc[one]))
     if not parts:
         return EMPTY
     hashes, docs = (np.concatenate(x) for x in zip(*parts))
@@ -231,9 +232,12 @@ def _entries(row: dict, known: list[Entries], step: int) -> Entries:
 
 
 def _sharded(batch: int, entries: Entries, shards: int) -> pa.Table:
-    shard = ((entries.hashes >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)).astype(np.int64)
-    cuts = np.searchsorted(shard, np.arange(shards + 1))
-    rows = [(s, batch, *Entries(*[f[a:b] for f in entries.fields()]).packed()) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+    # by the low bits: samples are chosen by small high bits
+    shard = ((entries.hashes & np.uint64(0xFFFFFFFF)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    rows = [(s, batch, *Entries(*[f[order[a:b]] for f in entries.fields()]).packed())
+            for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
     kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     columns = list(zip(*rows)) or [()] * 5
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["shard", "batch", "hashes", "counts", "firsts"])
@@ -241,19 +245,18 @@ def _sharded(batch: int, entries: Entries, shards: int) -> pa.Table:
 
 def _first_round(shards: int) -> Callable:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for i in range(len(rows)):
-                row = rows.slice(i, 1).to_pylist()[0]
-                yield from _sharded(row["batch"], _entries(row, [EMPTY] * 3, SAMPLE), shards).to_batches()
+        for rows in by_batch(batches):
+            yield from _sharded(rows[0]["batch"], _entries(rows, [EMPTY] * 3, SAMPLE), shards).to_batches()
 
     return emit
 
 
 def _later_round(step: int, shards: int) -> Callable:
     def emit(texts: pa.Table, found: pa.Table) -> pa.Table:
-        known = _known(found)
-        return pa.concat_tables([_sharded(0, EMPTY, shards), *[
-            _sharded(row["batch"], _entries(row, known, step), shards) for row in texts.to_pylist()]])
+        if not len(texts):
+            return _sharded(0, EMPTY, shards)
+        rows = texts.to_pylist()
+        return _sharded(rows[0]["batch"], _entries(rows, _known(found), step), shards)
 
     return emit
 
