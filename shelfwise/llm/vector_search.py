@@ -23,13 +23,13 @@ from shelfwise.functions.staging import stage
 
 K = 20
 SCALE = 64
-VECTORS_PER_BLOCK = 4096
-QUERIES_PER_BLOCK = 1024
+VECTORS_PER_BLOCK = 16384
+QUERIES_PER_BLOCK = 512
+QUERIES_AT_ONCE = 64
 #: Numbers of segments, coarse to fine; a vector is padded to a multiple of the last.
 SEGMENTS = (4, 16)
-PAIRS_AT_ONCE = 1 << 16
-#: Bounds are floating-point sums; they are widened by this part of the norms.
-SLACK = 1e-9
+#: Bounds are single-precision sums; they are widened by this part of the norms.
+SLACK = 2e-5
 FOUND = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -69,41 +69,50 @@ def statistics(matrix: np.ndarray, segments: int) -> np.ndarray:
     return np.hstack([cut.mean(axis=2), cut.std(axis=2)]) * root
 
 
-def _exact(q: np.ndarray, v: np.ndarray, qi: np.ndarray, vi: np.ndarray) -> np.ndarray:
-    out = np.empty(len(qi), np.int64)
-    for a in range(0, len(qi), PAIRS_AT_ONCE):
-        piece = slice(a, a + PAIRS_AT_ONCE)
-        out[piece] = np.einsum("ij,ij->i", q[qi[piece]], v[vi[piece]])
-    return out
+def _products(q: np.ndarray, v: np.ndarray, exact_in_double: bool) -> np.ndarray:
+    """Exact inner products of all rows: by floating-point products where every sum is a whole number that a double holds."""
+    if exact_in_double:
+        return (q.astype(np.float64) @ v.astype(np.float64).T).astype(np.int64)
+    return q @ v.T
 
 
 def search(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of the block's vectors per query: query ids, vector ids, scores. Ties go to the smaller vec_id."""
     width = max(q.shape[1], v.shape[1])
     q, v = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, v))
-    real_q, real_v = q.astype(np.float64), v.astype(np.float64)
-    slack = SLACK * (1 + np.linalg.norm(real_q, axis=1)[:, None] * np.linalg.norm(real_v, axis=1)[None, :])
-    bound = statistics(real_q, SEGMENTS[0]) @ statistics(real_v, SEGMENTS[0]).T + slack
-    own = q_ids[:, None] == v_ids[None, :]
-    bound[own] = -np.inf
-    # thresholds: the k-th exact score among the 2k best by the coarse bound
+    size_q, size_v = (np.linalg.norm(m.astype(np.float64), axis=1) for m in (q, v))
+    exact_in_double = size_q.max() * size_v.max() < 2**52
+    slack = SLACK * (1 + size_q * size_v.max())
+    levels = [[statistics(m.astype(np.float64), n).astype(np.float32) for m in (q, v)] for n in SEGMENTS]
     seeds = min(2 * k, len(v_ids))
-    likely = np.argpartition(-bound, seeds - 1, axis=1)[:, :seeds]
-    qi = np.repeat(np.arange(len(q_ids)), seeds)
-    score = _exact(q, v, qi, likely.ravel()).astype(np.float64).reshape(len(q_ids), seeds)
-    score[np.take_along_axis(own, likely, axis=1)] = -np.inf
-    threshold = np.sort(score, axis=1)[:, -k] if seeds >= k else np.full(len(q_ids), -np.inf)
-    alive = (bound >= threshold[:, None]) & ~own
-    for segments in SEGMENTS[1:]:
-        finer = statistics(real_q, segments) @ statistics(real_v, segments).T + slack
-        alive &= finer >= threshold[:, None]
-    qi, vi = np.nonzero(alive)
-    exact = _exact(q, v, qi, vi)
-    order = np.lexsort((v_ids[vi], -exact, qi))
-    qi, vi, exact = qi[order], vi[order], exact[order]
-    begins = np.searchsorted(qi, np.arange(len(q_ids)))
-    best = np.arange(len(qi)) - begins[qi] < k
-    return q_ids[qi[best]], v_ids[vi[best]], exact[best]
+    found = []
+    for a in range(0, len(q_ids), QUERIES_AT_ONCE):
+        rows = np.arange(a, min(a + QUERIES_AT_ONCE, len(q_ids)))
+        own = q_ids[rows, None] == v_ids[None, :]
+        bound = levels[0][0][rows] @ levels[0][1].T
+        bound[own] = -np.inf
+        # thresholds: the k-th exact score among the 2k best by the coarse bound
+        likely = np.argpartition(bound, len(v_ids) - seeds, axis=1)[:, len(v_ids) - seeds:]
+        score = np.einsum("qd,qsd->qs", q[rows], v[likely]).astype(np.float64)
+        score[np.take_along_axis(own, likely, axis=1)] = -np.inf
+        threshold = np.sort(score, axis=1)[:, -k] if seeds >= k else np.full(len(rows), -np.inf)
+        least = (threshold - slack[rows])[:, None]
+        alive = (bound >= least) & ~own
+        columns = np.flatnonzero(alive.any(axis=0))
+        alive = alive[:, columns]
+        for stats_q, stats_v in levels[1:]:
+            alive &= stats_q[rows] @ stats_v[columns].T >= least
+            left = alive.any(axis=0)
+            columns, alive = columns[left], alive[:, left]
+        exact = _products(q[rows], v[columns], exact_in_double)
+        alive &= exact >= threshold[:, None]
+        qi, vi = np.nonzero(alive)
+        exact, vi = exact[qi, vi], columns[vi]
+        order = np.lexsort((v_ids[vi], -exact, qi))
+        qi, vi, exact = qi[order], vi[order], exact[order]
+        best = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+        found.append((q_ids[rows[qi[best]]], v_ids[vi[best]], exact[best]))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _searcher(k: int) -> Callable:
