@@ -18,6 +18,8 @@ from shelfwise.llm.text import whole
 
 BATCH_BYTES = 4 << 20
 ROW_BYTES = 400 << 10
+#: Texts are written once and shuffled in every round: packed by a better codec than that of shuffles.
+CODEC = "zstd"
 BATCHES = "batch bigint, ids binary, known binary, offsets binary, text binary, size bigint"
 
 
@@ -32,7 +34,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({
             "batch": [number], "ids": [ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()],
             "known": [ids.is_valid().to_numpy(zero_copy_only=False).tobytes()], "offsets": [offsets.astype(np.int64).tobytes()],
-            "text": [data.tobytes()], "size": [len(data)]})
+            "text": [pa.compress(data.tobytes(), codec=CODEC, asbytes=True)], "size": [len(data)]})
 
 
 def by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -56,5 +58,6 @@ def text_batches(docs: DataFrame, label: str) -> DataFrame:
 
 def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """doc_ids, whether they are known, text offsets and text bytes of a batch row."""
+    text = pa.decompress(row["text"], decompressed_size=row["size"], codec=CODEC, asbytes=True) if row["size"] else b""
     return (np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], bool), np.frombuffer(row["offsets"], np.int64),
-            np.frombuffer(row["text"], np.uint8))
+            np.frombuffer(text, np.uint8))
