@@ -324,6 +324,29 @@ def _examples(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return code, prefix, weights, place >= ORDERS
 
 
+def _counts_packed(counts: np.ndarray) -> bytes:
+    """Counts as one byte each, those from 255 on listed behind."""
+    return np.uint64(len(counts)).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
+
+
+def _counts_unpacked(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, U, 1)[0])
+    counts = np.frombuffer(data, np.uint8, n, 8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data[8 + n:], np.int64)
+    return counts
+
+
+def _slots_packed(keys: np.ndarray) -> bytes:
+    """Sorted slots as gaps, byte plane by byte plane: the upper planes are nearly empty and shrink in the shuffle."""
+    gaps = np.diff(keys.astype(np.int64), prepend=0).astype(np.uint32)
+    return gaps.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _slots_unpacked(data: bytes) -> np.ndarray:
+    gaps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    return np.cumsum(gaps, dtype=np.int64).astype(np.uint32)
+
+
 def _slot_counts(context: np.ndarray, code: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct slots with their zeros and ones, over all bits of some events."""
     byte, node = (code & U(0xFF)).astype(np.int64), np.ones(len(code), np.int64)
@@ -364,16 +387,14 @@ def _contribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key, zeros, ones = _slot_sums(*zip(*parts))
                 segment = key >> np.uint32(8 + SEGMENT_BITS)
                 cuts = np.searchsorted(segment, np.arange((1 << TABLE_BITS - SEGMENT_BITS) + 1))
-                yield _batch_rows([(s, key[a:b].tobytes(), zeros[a:b].tobytes(), ones[a:b].tobytes())
+                yield _batch_rows([(s, _slots_packed(key[a:b]), _counts_packed(zeros[a:b]), _counts_packed(ones[a:b]))
                                    for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a], _schema(SLOTS))
 
 
 def _fill(table: pa.Table) -> pa.Table:
     """A segment of the predictor table: of the contexts that share a slot, the most frequent one keeps it."""
     rows = table.to_pylist()
-    keys = np.concatenate([np.frombuffer(r["slots"], np.uint32) for r in rows])
-    key, zeros, _ = _summed(keys, np.concatenate([np.frombuffer(r["zeros"], np.int64) for r in rows]))
-    _, ones, _ = _summed(keys, np.concatenate([np.frombuffer(r["ones"], np.int64) for r in rows]))
+    key, zeros, ones = _slot_sums([_slots_unpacked(r["slots"]) for r in rows], *[[_counts_unpacked(r[n]) for r in rows] for n in ("zeros", "ones")])
     slot = (key >> 8) & ((1 << SEGMENT_BITS) - 1)
     order = np.lexsort((key, -(zeros + ones), slot))
     best = order[np.concatenate([[True], slot[order][1:] != slot[order][:-1]])]

@@ -93,3 +93,12 @@ def test_few_or_no_documents(docs_of, empty):
     assert language_model.scores(empty).count() == 0
     rows = language_model.scores(docs_of([(None, "a b"), (None, None)])).collect()
     assert all(r["held_out"] and r["train_tokens"] == 0 and np.isfinite(r["base_score"]) and r["score"] < 0 for r in rows)
+
+
+def test_packed_slots_and_counts():
+    rng = np.random.default_rng(6)
+    keys = np.unique(rng.integers(0, 2**31, 500).astype(np.uint32))
+    counts = rng.choice([0, 1, 254, 255, 256, 10**12], len(keys))
+    assert (language_model._slots_unpacked(language_model._slots_packed(keys)) == keys).all()
+    assert (language_model._counts_unpacked(language_model._counts_packed(counts)) == counts).all()
+    assert not len(language_model._counts_unpacked(language_model._counts_packed(counts[:0])))
