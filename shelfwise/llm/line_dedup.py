@@ -5,6 +5,10 @@ the smallest (doc_id, unit number) stays, every other one is removed. What is gr
 `min_words` words; a unit that stands in a third of all documents is combined before the shuffle, and only digests found twice
 or more are joined back. Removed units are reported by their byte offsets in the original text.
 
+A unit is a line, a paragraph, or a sentence: the latter ends at . ! ? before a blank, or with its line, and keeps the blanks before it.
+`clean_passages` takes out repeated lines first, then repeated sentences of what is left, so that a passage goes also where it
+starts or ends inside a line; a line of which all sentences go stays as an empty one.
+
 Defined cases: a null text is empty; documents without an id take no part and stay whole; rows that share a doc_id are one
 document, so a unit kept in one is kept in all; an empty table gives no rows; further columns are kept by `clean`.
 """
@@ -23,7 +27,11 @@ from shelfwise.llm.text import ROW, bind, whole, with_row
 
 #: What parts one unit from the next.
 LINE, PARAGRAPH = "\n", "\n\n"
+#: Places between two sentences, of no length: after an end mark before a blank, and around line ends.
+SENTENCE = r"(?<=[.!?])(?=[\x20\x09])|(?<=[^\n])(?=\n)|(?<=\n)(?=[^\n])"
 MIN_WORDS = 10
+#: On sf0.1, of 44 pairs unlike otherwise that share 51 words or more, sentences from 10 words on left 1, from 7 words on none.
+SENTENCE_WORDS = 7
 _GAP = re.compile(r"[\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -32,12 +40,20 @@ def normalised(unit: str) -> list[str]:
     return [w for w in _GAP.split(unit.translate(_LOWER)) if w]
 
 
+def _between(separator: str) -> str:
+    """What stands between two units in the text."""
+    return "" if separator == SENTENCE else separator
+
+
 def _unit_rows(separator: str, min_words: int) -> Callable:
+    def cut(text: str) -> list[str]:
+        return re.split(separator, text) if separator == SENTENCE else text.split(separator)
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, units, digests = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for number, unit in enumerate(text.as_py().split(separator)):
+                for number, unit in enumerate(cut(text.as_py())):
                     found = normalised(unit)
                     if len(found) >= min_words:
                         ids.append(doc_id)
@@ -67,7 +83,7 @@ def marked(docs: DataFrame, separator: str = LINE, min_words: int = MIN_WORDS) -
     joined = rows.join(gone, F.col("_doc") == F.col("_gone"), "left")
     units = F.transform(F.split("_text", separator), lambda u, i: F.struct(
         u.alias("text"), F.octet_length(u).alias("bytes"), F.coalesce(F.array_contains("_units", i), F.lit(False)).alias("gone")))
-    step = len(separator)
+    step = len(_between(separator))
 
     def spans(all_units):
         start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("removed"))
@@ -76,7 +92,7 @@ def marked(docs: DataFrame, separator: str = LINE, min_words: int = MIN_WORDS) -
             (stop(a, u) + step).alias("at"),
             F.when(u["gone"], F.concat(a["removed"], F.array(F.struct(a["at"].alias("start"), stop(a, u).alias("stop")))))
             .otherwise(a["removed"]).alias("removed"))
-        kept = F.array_join(F.transform(F.filter(all_units, lambda u: ~u["gone"]), lambda u: u["text"]), separator)
+        kept = F.array_join(F.transform(F.filter(all_units, lambda u: ~u["gone"]), lambda u: u["text"]), _between(separator))
         return F.struct(F.size(all_units).cast("bigint").alias("n_units"),
                         F.aggregate(all_units, start, add, lambda a: a["removed"]).alias("removed"), kept.alias("kept"))
 
@@ -98,6 +114,11 @@ def clean(docs: DataFrame, separator: str = LINE, min_words: int = MIN_WORDS) ->
     return rows.select([(new[c] if c in new else F.col(f"{ROW}.`{c}`")).alias(c) for c in docs.columns])
 
 
+def clean_passages(docs: DataFrame, min_words: int = MIN_WORDS, sentence_words: int = SENTENCE_WORDS) -> DataFrame:
+    """`clean` by lines, then by sentences of at least `sentence_words` words."""
+    return clean(stage(clean(docs, LINE, min_words), "line-whole"), SENTENCE, sentence_words)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = marked(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     spans = F.array_join(F.transform("removed", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["stop"].cast("string"))), ",")
