@@ -15,7 +15,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", lambda spark, docs, sf_dir: quality_rules.keep_good(docs)),
-    ("near_duplicates", lambda spark, docs, sf_dir: near_dedup.keep_one(docs)),
+    ("near_duplicates", lambda spark, docs, sf_dir: near_dedup.keep_one(docs, near_dedup.Threshold(80))),
     ("repeated_lines", lambda spark, docs, sf_dir: line_dedup.clean_passages(docs)),
     ("mix_sources", lambda spark, docs, sf_dir: mixing.mix(docs)),
     ("pack_sequences", lambda spark, docs, sf_dir: packing.pack(docs)),
