@@ -125,7 +125,8 @@ def _row_key() -> list[Column]:
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """(_a, _b, doc_id, line, digest): one thin row per line with a key of at least `min_chars` code points."""
     texts = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
-    split = texts.select(*_row_key(), "doc_id", F.posexplode(F.split(whole(), "\n")).alias("line", "_text"))
+    rows = texts.select(*_row_key(), "doc_id", F.split(whole(), "\n").alias("_all"))  # keys of rows before rows are multiplied
+    split = rows.select("_a", "_b", "doc_id", F.posexplode("_all").alias("line", "_text"))
     keyed = split.select("_a", "_b", "doc_id", "line", line_key(F.col("_text")).alias("_key"))
     return keyed.filter(F.char_length("_key") >= max(min_chars, 1)).select("_a", "_b", "doc_id", "line", F.unhex(F.md5("_key")).alias("digest"))
 

@@ -77,6 +77,6 @@ def test_runs_join_without_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(line_runs.LineRuns, "_write", lambda self, rows, level: (
         plans.append(rows._jdf.queryExecution().executedPlan().toString()), write(self, rows, level))[1])
     runs.add(lines.filter("doc_id >= 50"))
-    assert [p.count("Exchange") for p in plans] == [2, 0]
+    assert [p.count("Exchange ") for p in plans] in ([2, 0], [1, 0]), plans  # a range is known to be distinct
     assert "LeftOuter" in plans[0] and "FullOuter" in plans[1]
     runs.drop()
