@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import language_model, licences, line_dedup, line_runs, mixing, near_dedup, packing, quality_rules, suffix_index, vector_search, warc
+from shelfwise.llm import language_model, licences, line_dedup, line_runs, mixing, near_dedup, packing, periodic, quality_rules, suffix_index, vector_search, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archives": warc.query,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vector_search": vector_search.query,
     "op9_pack_sequences": packing.query,
     "op10_near_duplicates": near_dedup.query,
+    "op11_periodic_runs": periodic.query,
     "op12_frequent_lines": line_runs.query,
 }
 #: Queries without an entry are tested against brute force in tests/llm.
