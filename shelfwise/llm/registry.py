@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import language_model, licences, line_dedup, line_runs, mixing, near_dedup, packing, periodic, quality_rules, suffix_index, vector_search, warc
+from shelfwise.llm import hard_negatives, language_model, licences, line_dedup, line_runs, mixing, near_dedup, packing, periodic, quality_rules, suffix_index, vector_search, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archives": warc.query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_duplicates": near_dedup.query,
     "op11_periodic_runs": periodic.query,
     "op12_frequent_lines": line_runs.query,
+    "op13_hard_negatives": hard_negatives.query,
 }
 #: Queries without an entry are tested against brute force in tests/llm.
 SQL: dict[str, str] = {
@@ -30,4 +31,5 @@ SQL: dict[str, str] = {
     "op7_quality_rules": quality_rules.SQL,
     "op8_vector_search": vector_search.SQL,
     "op12_frequent_lines": line_runs.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }

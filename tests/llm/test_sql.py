@@ -13,6 +13,6 @@ def test_against_sql(spark, sf_dir, name):
 
 def test_all_are_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in registry.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(registry.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(registry.SQL) <= set(registry.QUERIES)
