@@ -5,6 +5,7 @@ A staged table is computed once, survives the loss of executors, and gives later
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -70,18 +71,34 @@ def together(*jobs: Callable[[], Result]) -> list[Result]:
         return [future.result() for future in [pool.submit(job) for job in jobs]]
 
 
+_setting_lock = threading.Lock()
+_setting_users: dict[int, int] = {}
+_setting_before: dict[int, str | None] = {}
+
+
 @contextmanager
 def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of a job that ends in a written table are of no use after it."""
-    before = spark.conf.get(CLEANUP_CONF, None)
-    spark.conf.set(CLEANUP_CONF, "true")
+    """Shuffle files of a job that ends in a written table are of no use after it.
+
+    The setting belongs to the session: the first of several stages at once sets it, the last one puts the old value back.
+    """
+    key = id(spark._jsparkSession)
+    with _setting_lock:
+        if not _setting_users.get(key):
+            _setting_before[key] = spark.conf.get(CLEANUP_CONF, None)
+            spark.conf.set(CLEANUP_CONF, "true")
+        _setting_users[key] = _setting_users.get(key, 0) + 1
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP_CONF)
-        else:
-            spark.conf.set(CLEANUP_CONF, before)
+        with _setting_lock:
+            _setting_users[key] -= 1
+            if not _setting_users[key]:
+                before = _setting_before.pop(key)
+                if before is None:
+                    spark.conf.unset(CLEANUP_CONF)
+                else:
+                    spark.conf.set(CLEANUP_CONF, before)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

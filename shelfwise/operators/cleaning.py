@@ -37,8 +37,11 @@ def clean_products(raw: DataFrame) -> DataFrame:
 
 
 def clean_inventory(raw: DataFrame, products: DataFrame, warehouses: DataFrame) -> DataFrame:
-    """Complete rows with numeric counts, first row per pair, known products and warehouses only."""
-    typed = with_position(raw).withColumns({c: strict_number(F.col(c)) for c in ("current_stock", "reorder_level")})
+    """Complete rows with numeric counts, first row per pair, known products and warehouses only.
+
+    A count that its type cannot hold is no number: it drops its row instead of shutting the gate for the whole refresh.
+    """
+    typed = with_position(raw).withColumns({c: strict_number(F.col(c)).try_cast("int") for c in ("current_stock", "reorder_level")})
     first = keep_first(typed.dropna(subset=[c for c in typed.columns if c != POSITION]), PAIR)
     return conform(known_keys(first, products, warehouses), INVENTORY)
 
@@ -107,6 +110,7 @@ def clean_restocks(raw: DataFrame, products: DataFrame, warehouses: DataFrame) -
     """Complete, distinct receipts with a positive quantity, known products and warehouses only."""
     typed = raw.drop(POSITION).withColumns({
         "restock_date": parse_date(F.col("restock_date")), "quantity": strict_number(F.col("quantity"))})
+    typed = typed.withColumn("quantity", F.when(F.col("quantity").try_cast("int").isNotNull(), F.col("quantity")))
     rows = known_keys(typed.dropna().dropDuplicates().filter("quantity > 0"), products, warehouses)
     return conform(rows, RESTOCKS)
 

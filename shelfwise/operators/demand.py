@@ -4,17 +4,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwise.functions.months import first_day, last_day, within
 from shelfwise.schemas import PAIR
 
 
-def span(sales: DataFrame) -> Column:
-    """First and last order date as one scalar subquery."""
-    return sales.agg(F.struct(F.min("order_date").alias("lo"), F.max("order_date").alias("hi"))).scalar()
-
-
 def day_count(sales: DataFrame) -> Column:
-    s = span(sales)
-    return F.datediff(s["hi"], s["lo"]) + 1
+    return F.datediff(last_day(sales), first_day(sales)) + 1
 
 
 def product_days(sales: DataFrame) -> DataFrame:
@@ -24,22 +19,20 @@ def product_days(sales: DataFrame) -> DataFrame:
 def _zero_filled(sales: DataFrame, first: Column, last: Column) -> DataFrame:
     """One row per product and calendar day between two dates; the days are exploded per product, never joined."""
     grid = sales.select("product_id").distinct().select("product_id", F.explode(F.sequence(first, last)).alias("day"))
-    sold = product_days(sales.filter((F.col("order_date") >= first) & (F.col("order_date") <= last)))
+    sold = product_days(within(sales, first, last))
     return grid.join(sold, ["product_id", "day"], "left").select(
         "product_id", "day", F.coalesce("units", F.lit(0)).alias("units"))
 
 
 def daily_matrix(sales: DataFrame) -> DataFrame:
     """Units per product and day over the full calendar, zero filled, in long form."""
-    s = span(sales)
-    return _zero_filled(sales, s["lo"], s["hi"])
+    return _zero_filled(sales, first_day(sales), last_day(sales))
 
 
 def recent_history(sales: DataFrame, days: int = 120) -> DataFrame:
     """The last `days` rows of the daily matrix with their 7-day average (null until seven days are in view)."""
-    s = span(sales)
-    first = F.greatest(s["lo"], F.date_sub(s["hi"], days - 1))
-    return moving_average(_zero_filled(sales, first, s["hi"]), 7)
+    last = last_day(sales)
+    return moving_average(_zero_filled(sales, F.greatest(first_day(sales), F.date_sub(last, days - 1)), last), 7)
 
 
 def moving_average(series: DataFrame, at_least: int) -> DataFrame:

@@ -1,8 +1,8 @@
 """Demand forecast (recent level x weekday profile x year-over-year ratio) and its holdout backtest.
 
-Every term is a conditional sum per product divided by a calendar day count, so one pass and one shuffle on product_id with
-map-side combine yields all of them; the day x product matrix is never built. The sums are staged, because the category pools
-and the products both start from them and the sales are to be read once.
+Every term is a sum per product over a window of days, divided by a calendar day count. The windows (56 days, the holdout, and a
+year ago) are read in one scan that opens their months only, and summed by product and day; the day x product matrix is never
+built. The sums are staged, because the category pools and the products both start from them.
 """
 from __future__ import annotations
 
@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import half_up, ratio
+from shelfwise.functions.months import first_day, last_day, recent, within_any
 from shelfwise.functions.staging import stage
-from shelfwise.operators.demand import moving_average, span
-from shelfwise.operators.kpis import recent
+from shelfwise.operators.demand import moving_average
 
 # Window lengths of the model in days and the bounds of the seasonal ratio.
 LEVEL_DAYS, PROFILE_DAYS, YEAR_DAYS = 28, 56, 365
@@ -21,23 +21,31 @@ WEEK = range(7)
 
 
 def _window_sums(sales: DataFrame, horizon: int, holdout: int) -> DataFrame:
-    """Per product: units of the level window, of each weekday in the profile window, of last year's two windows, and of each
-    holdout day. History ends `holdout` days before the last order."""
-    s = span(sales)
-    history = F.datediff(s["hi"], s["lo"]) + 1 - holdout                   # number of history days
-    at = F.datediff(F.col("order_date"), F.date_sub(s["hi"], holdout - 1))  # day of the order; 0 is the first day after history
-    orders = sales.select("product_id", "quantity", at.alias("at"), F.weekday("order_date").alias("weekday"))
-
-    def total(condition: str, name: str) -> str:
-        return f"coalesce(sum(CASE WHEN {condition} THEN quantity END), 0) AS {name}"
-
-    columns = [total(f"at < 0 AND at >= -{LEVEL_DAYS}", "level_units")]
-    columns += [total(f"at < 0 AND at >= -{PROFILE_DAYS} AND weekday = {w}", f"weekday_{w}") for w in WEEK]
-    columns += [total(f"at >= -{YEAR_DAYS} AND at < {horizon} - {YEAR_DAYS}", "year_ago_next"),
-                total(f"at >= -{YEAR_DAYS} - {LEVEL_DAYS} AND at < -{YEAR_DAYS}", "year_ago_level")]
-    columns += [total(f"at = {i}", f"actual_{i}") for i in range(holdout)]
-    sums = orders.groupBy("product_id").agg(*map(F.expr, columns))
-    return sums.withColumns({"history_days": history, "next_day": F.date_sub(s["hi"], holdout - 1)})
+    """Per product ever sold: units of the level window, of each weekday in the profile window, of last year's two windows, and a
+    map of units by day of the holdout. History ends `holdout` days before the last order.
+
+    Order lines are read for the windows only, in one scan, and summed by product and day first; what is known of a product beyond
+    them is that it has been sold, which takes one column.
+    """
+    last = last_day(sales)
+    start = F.date_sub(last, holdout - 1)                                  # the first day after history
+    spans = [(F.date_sub(start, PROFILE_DAYS), last),
+             (F.date_sub(start, YEAR_DAYS + LEVEL_DAYS), F.date_add(start, horizon - YEAR_DAYS - 1))]
+    daily = within_any(sales, spans).groupBy("product_id", "order_date").agg(F.sum("quantity").alias("units"))
+    daily = daily.select("product_id", "units", F.datediff("order_date", start).alias("at"), F.weekday("order_date").alias("weekday"))
+
+    def total(condition: str, name: str) -> Column:
+        return F.expr(f"sum(units) FILTER (WHERE {condition}) AS {name}")
+
+    columns = [total(f"at < 0 AND at >= -{LEVEL_DAYS}", "level_units"),
+               *[total(f"at < 0 AND at >= -{PROFILE_DAYS} AND weekday = {w}", f"weekday_{w}") for w in WEEK],
+               total(f"at >= -{YEAR_DAYS} AND at < {horizon} - {YEAR_DAYS}", "year_ago_next"),
+               total(f"at >= -{YEAR_DAYS} - {LEVEL_DAYS} AND at < -{YEAR_DAYS}", "year_ago_level")]
+    names = ["level_units", *[f"weekday_{w}" for w in WEEK], "year_ago_next", "year_ago_level"]
+    held = F.expr("map_from_entries(collect_list(struct(at, units)) FILTER (WHERE at >= 0)) AS held_out")
+    sums = daily.groupBy("product_id").agg(*columns, *([held] if holdout else []))
+    known = sales.select("product_id").distinct().join(sums, "product_id", "left").fillna(0, names)
+    return known.withColumns({"history_days": F.datediff(last, first_day(sales)) + 1 - holdout, "next_day": start})
 
 
 def _mean(name: str) -> str:
@@ -91,8 +99,8 @@ def forecast(sales: DataFrame, horizon: int = 30, products: DataFrame | None = N
 def _errors(sales: DataFrame, horizon: int, products: DataFrame | None) -> DataFrame:
     """Per product: units, forecast and absolute errors over the holdout, by day and by 7-day bucket from its first day."""
     f = _with_factors(stage(_window_sums(sales, horizon, horizon), "window-sums"), horizon, products)
-    days = ", ".join(f"double(actual_{i})" for i in range(horizon))
-    f = f.select("product_id", F.expr(f"array({days}) AS actual"), _forecast_units(horizon).alias("model"),
+    days = f"transform(sequence(0, {horizon - 1}), i -> double(coalesce(held_out[i], 0))) AS actual"
+    f = f.select("product_id", F.expr(days), _forecast_units(horizon).alias("model"),
                  F.expr(f"array_repeat(level, {horizon}) AS naive"))
 
     def total(values: str) -> str:

@@ -5,9 +5,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import half_up, ratio
+from shelfwise.functions.months import recent
 from shelfwise.functions.ordering import quantiles
 from shelfwise.functions.staging import stage
-from shelfwise.operators.kpis import recent
 from shelfwise.schemas import PAIR
 
 HEALTH_COLUMNS = ["current_stock", "stock_value", "excess_value", "suggested_order_cost", "stockout_risk_pct", "days_of_cover"]

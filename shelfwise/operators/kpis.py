@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import half_up, positive, ratio
+from shelfwise.functions.months import recent, within
 from shelfwise.functions.ordering import number_rows, running_totals
 from shelfwise.functions.staging import stage
 from shelfwise.schemas import PAIR
@@ -23,16 +24,6 @@ def is_low() -> Column:
     return F.col("current_stock") <= F.col("reorder_level")
 
 
-def last_day(sales: DataFrame) -> Column:
-    """Latest order date as a scalar subquery."""
-    return sales.agg(F.max("order_date")).scalar()
-
-
-def recent(sales: DataFrame, window_days: int) -> DataFrame:
-    """Exactly the last `window_days` days up to the latest order."""
-    return sales.filter(F.col("order_date") > F.date_sub(last_day(sales), window_days))
-
-
 # ------------------------------------------------------------------------------------------------ headline, months
 def headline(sales: DataFrame, inventory: DataFrame) -> DataFrame:
     """One row: total sales, units sold, total stock, low-stock items."""
@@ -269,8 +260,8 @@ def category_performance(sales: DataFrame, products: DataFrame) -> DataFrame:
 def warehouse_month(sales: DataFrame, warehouse_id: str, year: int, month: int) -> DataFrame:
     """Revenue of one warehouse in one month."""
     start = F.make_date(F.lit(year), F.lit(month), F.lit(1))
-    span = (F.col("order_date") >= start) & (F.col("order_date") < F.add_months(start, 1))
-    return sales.filter(span & (F.col("warehouse_id") == warehouse_id)).agg(F.sum("revenue").alias("revenue"))
+    lines = within(sales, start, F.last_day(start)).filter(F.col("warehouse_id") == warehouse_id)
+    return lines.agg(F.sum("revenue").alias("revenue"))
 
 
 def product_days(sales: DataFrame, product_id: str) -> DataFrame:

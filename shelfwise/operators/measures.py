@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import ratio
+from shelfwise.functions.months import within
 from shelfwise.functions.ordering import quantiles, running_totals, skip_rank
 from shelfwise.functions.staging import stage
 from shelfwise.operators.kpis import is_low
@@ -57,10 +58,8 @@ def filter_tables(t: Tables, filters: Filters) -> Tables:
     if filters.warehouses is not None:
         chosen = F.col("warehouse_id").isin(filters.warehouses)
         sales, inventory, restocks, warehouses = (f.filter(chosen) for f in (sales, inventory, restocks, warehouses))
-    if filters.first_day is not None:
-        sales = sales.filter(F.col("order_date") >= F.lit(filters.first_day).cast("date"))
-    if filters.last_day is not None:
-        sales = sales.filter(F.col("order_date") <= F.lit(filters.last_day).cast("date"))
+    first, last = (F.lit(d).cast("date") if d is not None else None for d in (filters.first_day, filters.last_day))
+    sales = within(sales, first, last)
     return Tables(warehouses, products, inventory, restocks, sales)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.functions.columns import half_up, parse_date, to_number
+from shelfwise.functions import months
 from shelfwise.functions.firsts import keep_last
 from shelfwise.functions.staging import new_path
 from shelfwise.operators import cleaning, demand, forecast, health, kpis, quality, replenish, segments, served, transfers
@@ -783,7 +784,7 @@ def _(b: Bed) -> DataFrame:
 FROM fc WHERE product_id = (SELECT product_id FROM best)""", o.forecast_sql(30, 0),
                                "best AS (SELECT product_id FROM sales GROUP BY 1 ORDER BY SUM(CASE WHEN order_date > (SELECT MAX(order_date) FROM sales) - 28 THEN quantity ELSE 0 END) DESC, product_id LIMIT 1)"))
 def _(b: Bed) -> DataFrame:
-    recent_units = F.coalesce(F.sum(F.when(F.col("order_date") > F.date_sub(kpis.last_day(b.t.sales), 28), F.col("quantity"))), F.lit(0))
+    recent_units = F.coalesce(F.sum(F.when(F.col("order_date") > F.date_sub(months.last_day(b.t.sales), 28), F.col("quantity"))), F.lit(0))
     best = b.t.sales.groupBy("product_id").agg(recent_units.alias("u")).orderBy(F.desc("u"), "product_id").first()["product_id"]
     return forecast.product_forecast(b.t.sales, b.t.products, best)
 

@@ -1,6 +1,7 @@
 """Reading and writing the table set: raw CSV, clean Parquet and CSV, star-schema and result-set exports, JSON records."""
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.errors import AnalysisException
@@ -8,13 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfwise.functions import versions
 from shelfwise.functions.columns import json_safe
 from shelfwise.functions.firsts import POSITION
-from shelfwise.functions.staging import together
+from shelfwise.functions.months import MONTH, month_of, within, without_month
+from shelfwise.functions.staging import exists, remove, together
 from shelfwise.schemas import SALES, TABLE_NAMES, TABLE_SCHEMAS, Tables, conform
 
-MONTH = "order_month"
 DATE_FORMAT = "yyyy-MM-dd"
+#: Versions of the clean tables that stay: the one in force, and the one before for readers that have begun.
+KEPT_VERSIONS = 2
 
 # Field texts that stand for a missing value in a text export.
 MISSING_TEXTS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
@@ -55,14 +59,15 @@ def read_raw(spark: SparkSession, folder: str) -> Tables:
 
 
 # ------------------------------------------------------------------------------------------------ clean tables
-def write_clean(tables: Tables, folder: str, csv: bool = True) -> None:
-    """Overwrite one Parquet table per canonical table, sales by month; CSV copies on request.
+def write_tables(tables: Tables, folder: str, csv: bool = True) -> None:
+    """One Parquet table per canonical table in a folder of their own, sales by month; CSV copies on request.
 
     The rebalance hint fills files evenly and splits a month that holds far more rows than the others.
     """
     def write(name: str, df: DataFrame) -> None:
+        df = df.select(TABLE_SCHEMAS[name].names)
         if name == "sales":
-            monthly = df.withColumn(MONTH, F.date_format("order_date", "yyyy-MM")).hint("rebalance", F.col(MONTH))
+            monthly = df.withColumn(MONTH, month_of(F.col("order_date"))).hint("rebalance", F.col(MONTH))
             # by product inside a month: row groups of other products are skipped, and days stay within the month anyway
             ordered = monthly.sortWithinPartitions(MONTH, "product_id", "order_date", "order_id")
             ordered.write.mode("overwrite").partitionBy(MONTH).parquet(f"{folder}/{name}.parquet")
@@ -74,37 +79,68 @@ def write_clean(tables: Tables, folder: str, csv: bool = True) -> None:
     together(*[partial(write, name, df) for name, df in tables.items()])
 
 
+def new_version() -> str:
+    """Name of a folder inside the clean folder that no version has."""
+    return f"tables-{uuid.uuid4().hex}"
+
+
+def publish_version(spark: SparkSession, folder: str, version: str, keep: int = KEPT_VERSIONS) -> None:
+    """Put the tables of a version folder in force, all at once, and expire versions before the last `keep`."""
+    versions.publish(spark, folder, {"tables": version})
+    for number in versions.numbers(spark, folder)[:-keep]:
+        remove(spark, f"{folder}/{versions.read(spark, folder, number)['tables']}")
+        versions.forget(spark, folder, number)
+
+
+def write_clean(tables: Tables, folder: str, csv: bool = True, keep: int = KEPT_VERSIONS) -> None:
+    """Write a new version of the clean tables. Readers see the version before until all five are there."""
+    version = new_version()
+    write_tables(tables, f"{folder}/{version}", csv)
+    publish_version(tables.sales.sparkSession, folder, version, keep)
+
+
+def version_folder(spark: SparkSession, folder: str) -> str:
+    """Where the tables in force lie; a folder without versions holds its tables itself."""
+    found = versions.current(spark, folder)
+    return f"{folder}/{found[1]['tables']}" if found else folder
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
     df.write.mode("overwrite").options(**keep).option("header", True).option("dateFormat", DATE_FORMAT).csv(path)
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One clean table: Parquet if it is there, else CSV."""
+    """One clean table of the version in force, in its canonical columns: Parquet if it is there, else CSV."""
+    return without_month(_read_in(spark, version_folder(spark, folder), name))
+
+
+def _read_in(spark: SparkSession, folder: str, name: str) -> DataFrame:
     schema = TABLE_SCHEMAS[name]
-    try:
-        return spark.read.schema(schema).parquet(f"{folder}/{name}.parquet").select(schema.names)      # without the month folder
-    except AnalysisException:
-        options = {"header": True, "escape": '"', "dateFormat": DATE_FORMAT}
-        return spark.read.schema(schema).options(**options).csv(f"{folder}/{name}.csv")
+    if exists(spark, f"{folder}/{name}.parquet"):
+        if name == "sales":
+            schema = T.StructType([*schema.fields, T.StructField(MONTH, T.StringType())])
+        return spark.read.schema(schema).parquet(f"{folder}/{name}.parquet")
+    options = {"header": True, "escape": '"', "dateFormat": DATE_FORMAT}
+    return spark.read.schema(schema).options(**options).csv(f"{folder}/{name}.csv")
 
 
 def load_clean(spark: SparkSession, folder: str) -> Tables:
-    return Tables(**{name: read_table(spark, folder, name) for name in TABLE_NAMES})
+    """All tables of one version. Sales keep their month folder as a last column, by which windows of days skip files."""
+    version = version_folder(spark, folder)
+    return Tables(**{name: _read_in(spark, version, name) for name in TABLE_NAMES})
 
 
 def read_sales_between(spark: SparkSession, folder: str, first_day: str, last_day: str) -> DataFrame:
     """Clean sales of a date range; only the month folders it touches are read."""
-    df = spark.read.schema(T.StructType([*SALES.fields, T.StructField(MONTH, T.StringType())])).parquet(f"{folder}/sales.parquet")
-    months = F.col(MONTH).between(first_day[:7], last_day[:7])
-    days = F.col("order_date").between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date"))
-    return conform(df.filter(months & days), SALES)
+    sales = _read_in(spark, version_folder(spark, folder), "sales")
+    return conform(within(sales, F.lit(first_day).cast("date"), F.lit(last_day).cast("date")), SALES)
 
 
 def load_data(spark: SparkSession, folders: list[str]) -> tuple[Tables, str]:
     """The first folder of the list that holds clean sales, and its path as the source label."""
     for folder in folders:
-        if any(_readable(spark, f"{folder}/sales.{kind}", kind) for kind in ("parquet", "csv")):
+        if any(exists(spark, f"{version_folder(spark, folder)}/sales.{kind}") for kind in ("parquet", "csv")):
             return load_clean(spark, folder), folder
     raise FileNotFoundError(f"no clean tables in {', '.join(folders)}")
 
@@ -113,7 +149,7 @@ def load_data(spark: SparkSession, folders: list[str]) -> tuple[Tables, str]:
 def export_star_schema(tables: Tables, folder: str) -> None:
     """Facts and dimensions as CSV under the names of the star schema."""
     for name, df in tables.items():
-        write_csv(df, f"{folder}/{STAR_NAMES[name]}.csv")
+        write_csv(df.select(TABLE_SCHEMAS[name].names), f"{folder}/{STAR_NAMES[name]}.csv")
 
 
 def export_result_sets(results: dict[str, DataFrame], folder: str, kind: str = "parquet") -> None:
