@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from shelfwise.operators import measures as ms
 from shelfwise.operators import summaries as su
 from shelfwise.plans import imports, oracle as o, refresh, testbed
 from shelfwise.plans.oracle import B, D, R, pct, q
-from shelfwise.schemas import PAIR, Policy, Tables
+from shelfwise.schemas import PAIR, TABLE_SCHEMAS, Policy, Tables
 from shelfwise.sources import files, store_items
 
 QUERIES: dict[str, Callable[["Bed"], DataFrame]] = {}
@@ -153,15 +153,27 @@ def _(b: Bed) -> DataFrame:
                  F.count_distinct("order_id").alias("order_ids"), F.min("order_date").alias("first_text"), F.max("unit_price").alias("last_price"))
 
 
-TABLE_COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS row_count FROM {t}" for t in ("warehouses", "products", "inventory", "restocks", "sales"))
+def _joined(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _counts(tables: Tables) -> DataFrame:
-    parts = [df.agg(F.lit(name).alias("table_name"), F.count("*").alias("row_count")) for name, df in tables.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _figures(tables: dict[str, DataFrame]) -> DataFrame:
+    """Per table and column the values that are there and their sum: of numbers, of days since 1970, of text lengths."""
+    how = {"string": F.length, "date": F.unix_date}
+
+    def of(name: str, df: DataFrame) -> DataFrame:
+        fields = [(f.name, how.get(f.dataType.simpleString(), F.col)(f.name)) for f in TABLE_SCHEMAS[name].fields]
+        sums = df.agg(*[F.count(c).alias(f"n_{c}") for c, _ in fields], *[F.sum(v).cast("double").alias(f"s_{c}") for c, v in fields])
+        entries = [F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.col(f"n_{c}").alias("present"), F.col(f"s_{c}").alias("figure"))
+                   for c, _ in fields]
+        return sums.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+
+    return _joined([of(name, df) for name, df in tables.items()])
+
+
+CANONICAL = {name: f"SELECT * FROM {name}" for name in TABLE_SCHEMAS}
+CLEANED = {"warehouses": "SELECT * FROM cw", "products": f"SELECT {o.PRODUCT_OUT} FROM cp", "inventory": "SELECT * FROM ci",
+           "restocks": "SELECT * FROM cr", "sales": f"SELECT {o.SALES_OUT} FROM cs"}
 
 
 @query("s2_clean_parquet", q(f"""SELECT CAST(year(order_date) AS BIGINT) AS year, CAST(month(order_date) AS BIGINT) AS month, COUNT(*) AS row_count,
@@ -178,9 +190,9 @@ def _(b: Bed) -> DataFrame:
     return r.groupBy("restock_date").agg(F.count("*").alias("row_count"), F.sum("quantity").alias("units"))
 
 
-@query("s4_load_clean", q(TABLE_COUNTS))
+@query("s4_load_clean", q(o.figures(CANONICAL, TABLE_SCHEMAS)))
 def _(b: Bed) -> DataFrame:
-    return _counts(files.load_clean(b.spark, b.written()))
+    return _figures(dict(files.load_clean(b.spark, b.written()).items()))
 
 
 @query("s5_source_fallback", q(f"SELECT COUNT(*) AS row_count, {B('SUM(current_stock)')} AS stock, 'second' AS source FROM inventory"))
@@ -208,34 +220,28 @@ def _(b: Bed) -> DataFrame:
     return refresh.refresh(b.spark, b.raw_folder(), new_path(b.spark, "refreshed"), csv=False)
 
 
-@query("s8_star_export", q(" UNION ALL ".join(
-    f"SELECT '{star}' AS file, COUNT(*) AS row_count FROM {t}" for t, star in files.STAR_NAMES.items())))
+@query("s8_star_export", q(o.figures(CANONICAL, TABLE_SCHEMAS)))
 def _(b: Bed) -> DataFrame:
     folder = new_path(b.spark, "star")
     files.export_star_schema(b.t, folder)
-    back = b.spark.read.option("header", True).csv
-    parts = [back(f"{folder}/{star}.csv").agg(F.lit(star).alias("file"), F.count("*").alias("row_count")) for star in files.STAR_NAMES.values()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    read = b.spark.read.options(header=True, escape='"', dateFormat=files.DATE_FORMAT)
+    return _figures({name: read.schema(TABLE_SCHEMAS[name]).csv(f"{folder}/{star}.csv") for name, star in files.STAR_NAMES.items()})
 
 
-PACK_COUNTS = """SELECT 'summary' AS sheet, CAST(8 AS BIGINT) AS row_count UNION ALL SELECT 'orders_to_place', COUNT(*) FROM repl WHERE below_rop
-UNION ALL SELECT 'stockout_risk', COUNT(*) FROM repl WHERE stockout_risk_pct >= 50 UNION ALL SELECT 'transfers', COUNT(*) FROM transfers
-UNION ALL SELECT 'excess_stock', COUNT(*) FROM repl WHERE excess_value > 0 UNION ALL SELECT 'abc_xyz', COUNT(*) FROM abc"""
+#: A figure per sheet of the action pack, and its SQL.
+PACK_FIGURES = {"orders_to_place": ("suggested_order_qty", "repl WHERE below_rop"), "stockout_risk": ("lead_time_days", "repl WHERE stockout_risk_pct >= 50"),
+                "transfers": ("quantity", "transfers"), "excess_stock": ("excess_units", "repl WHERE excess_value > 0"), "abc_xyz": ("revenue", "abc")}
+PACK_SQL = "SELECT 'summary' AS sheet, CAST(8 AS BIGINT) AS row_count, CAST(NULL AS DOUBLE) AS figure" + "".join(
+    f" UNION ALL SELECT '{sheet}', COUNT(*), CAST(SUM(CAST({column} AS DECIMAL(18, 2))) AS DOUBLE) FROM {rows}" for sheet, (column, rows) in PACK_FIGURES.items())
 
 
-@query("s9_action_pack", q(PACK_COUNTS, o.REPL, o.TRANSFERS, o.RATES, o.ABC))
+@query("s9_action_pack", q(PACK_SQL, o.REPL, o.TRANSFERS, o.RATES, o.ABC))
 def _(b: Bed) -> DataFrame:
     folder = new_path(b.spark, "pack")
     files.export_result_sets(su.action_pack(b.repl, health.inventory_health(b.t.sales, b.repl), b.abc, b.transfers), folder)
-    parts = [b.spark.read.parquet(f"{folder}/{s}.parquet").agg(F.lit(s).alias("sheet"), F.count("*").alias("row_count"))
-             for s in ("summary", "orders_to_place", "stockout_risk", "transfers", "excess_stock", "abc_xyz")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    sheets = {"summary": F.lit(None), **{sheet: F.sum(F.col(column).cast("decimal(18,2)")) for sheet, (column, _) in PACK_FIGURES.items()}}
+    return _joined([b.spark.read.parquet(f"{folder}/{s}.parquet").agg(F.lit(s).alias("sheet"), F.count("*").alias("row_count"), v.cast("double").alias("figure"))
+                    for s, v in sheets.items()])
 
 
 @query("s10_csv_downloads", q(f"""SELECT 'purchase_suggestions' AS file, COUNT(*) AS row_count, {B('SUM(suggested_order_qty)')} AS units FROM repl WHERE below_rop
@@ -255,14 +261,14 @@ def _(b: Bed) -> DataFrame:
     return files.json_records(b.t.restocks)
 
 
-@query("s12_repeated_refresh", q("SELECT table_name, row_count, row_count AS second_count FROM (" + TABLE_COUNTS + ")"))
+@query("s12_repeated_refresh", q("SELECT *, figure AS second_figure FROM (" + o.figures(CLEANED, TABLE_SCHEMAS) + ")", o.RAW, o.CLEAN))
 def _(b: Bed) -> DataFrame:
-    folder = b.written()
-    first = {name: df.count() for name, df in files.load_clean(b.spark, folder).items()}
-    files.write_clean(b.t, folder, csv=False)
-    second = _counts(files.load_clean(b.spark, folder)).withColumnRenamed("row_count", "second_count")
-    known = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])
-    return second.select("table_name", known[F.col("table_name")].cast("bigint").alias("row_count"), "second_count")
+    raw, clean, figures = b.raw_folder(), new_path(b.spark, "refreshed"), []
+    for _ in range(2):
+        refresh.refresh(b.spark, raw, clean, csv=False)
+        figures.append(_figures(dict(files.load_clean(b.spark, clean).items())))
+    second = figures[1].select("table_name", "column_name", F.col("figure").alias("second_figure"))
+    return figures[0].join(second, ["table_name", "column_name"])
 
 
 # ================================================================================================ cleaning
@@ -311,13 +317,15 @@ def _(b: Bed) -> DataFrame:
     return cleaning.clean_all(b.raw)[0].restocks
 
 
-CLEAN_COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS row_count FROM {c}" for t, c in (
-    ("warehouses", "cw"), ("products", "cp"), ("inventory", "ci"), ("restocks", "cr"), ("sales", "cs")))
+@query("c5_overflowing_stock", q(f"SELECT warehouse_id, product_id, {B('current_stock')} AS current_stock, {B('reorder_level')} AS reorder_level FROM ci",
+                                o.RAW_TOO_LARGE, o.CLEAN))
+def _(b: Bed) -> DataFrame:
+    return cleaning.clean_all(b.raw.with_(inventory=testbed.raw_inventory(b.spark, b.sf_dir, overflowing=True)))[0].inventory
 
 
-@query("c8_clean_all", q(CLEAN_COUNTS, o.RAW, o.CLEAN))
+@query("c8_clean_all", q(o.figures(CLEANED, TABLE_SCHEMAS), o.RAW, o.CLEAN))
 def _(b: Bed) -> DataFrame:
-    return _counts(cleaning.clean_all(b.raw)[0])
+    return _figures(dict(cleaning.clean_all(b.raw)[0].items()))
 
 
 @query("d1_keep_last", q("SELECT warehouse_id, product_id, current_stock, reorder_level FROM " + o.keep_one(
@@ -362,6 +370,15 @@ def _(b: Bed) -> DataFrame:
     return _rounded(u, 4, "unit_price")
 
 
+@query("i9_overflowing_quantity", q(f"""SELECT reason, COUNT(*) AS row_count, CAST(NULL AS DOUBLE) AS units FROM labelled WHERE reason IS NOT NULL GROUP BY 1
+UNION ALL SELECT 'imported', COUNT(*), {D('SUM(quantity)')} FROM uniq""", o.EXPORT_TOO_LARGE))
+def _(b: Bed) -> DataFrame:
+    done = imports.import_data(im.Export.of(testbed.sales_export(b.spark, b.sf_dir, overflowing=True), "sales"))
+    dropped = done.findings.filter(F.col("kind") == imports.DROPPED)
+    sold = done.tables.sales.agg(F.lit("imported").alias("reason"), F.count("*").alias("row_count"), F.sum("quantity").cast("double").alias("units"))
+    return dropped.select(F.col("code").alias("reason"), F.col("rows").alias("row_count"), F.lit(None).cast("double").alias("units")).unionByName(sold)
+
+
 @query("i10_product_dimension", q(f"SELECT {o.PRODUCT_OUT}, in_master, no_price, no_cost, no_lead_time FROM soldp", o.EXPORT, o.PEXP))
 def _(b: Bed) -> DataFrame:
     return b.sold
@@ -421,29 +438,34 @@ def _(b: Bed) -> DataFrame:
 FINDINGS = {
     "rows_in": "SELECT COUNT(*) FROM exp", "rows_out": "SELECT COUNT(*) FROM uniq",
     "days": "SELECT MAX(order_date) - MIN(order_date) + 1 FROM uniq", "date_reading": "SELECT 0",
+    "first_day": "SELECT 0", "last_day": "SELECT 0",
     "derived_prices": "SELECT COUNT(*) FROM labelled WHERE reason IS NULL AND from_amount",
     "shared_order_ids": "SELECT (SELECT COUNT(*) FROM kept) - (SELECT COUNT(*) FROM uniq)",
     **{code: f"SELECT COUNT(*) FROM soldp WHERE {test}" for code, test in (
         ("assumed_costs", "no_cost"), ("assumed_lead_times", "no_lead_time"), ("unlisted_products", "NOT in_master"), ("unpriced_products", "no_price"))},
     "unsold_products": "SELECT COUNT(*) FROM unsold", "recommended_levels": "SELECT COUNT(*) FROM istock WHERE no_level",
 }
-ABOUT = {"date_reading": "format d/M/yyyy"}
+ABOUT = {"date_reading": "'format d/M/yyyy'", "first_day": "(SELECT CAST(MIN(order_date) AS VARCHAR) FROM uniq)",
+         "last_day": "(SELECT CAST(MAX(order_date) AS VARCHAR) FROM uniq)"}
 
 
 @query("i19_import_report", q(" UNION ALL ".join([
     "SELECT 'dropped' AS kind, reason AS code, COUNT(*) AS rows, reason AS text FROM labelled WHERE reason IS NOT NULL GROUP BY ALL",
     "SELECT 'dropped', 'invalid stock rows', COUNT(*), 'invalid stock rows' FROM slab WHERE NOT COALESCE(stock >= 0, FALSE)",
-    *[f"SELECT '{imports.TEXTS[code][0]}', '{code}', {B(f'({sql})')} AS n, '{imports.TEXTS[code][1]}{': ' + ABOUT[code] if code in ABOUT else ''}' "
-      f"WHERE n > 0 OR '{code}' IN ('rows_in', 'rows_out', 'days', 'date_reading')" for code, sql in FINDINGS.items()]]), o.EXPORT, o.PEXP, o.SEXP))
+    *[f"SELECT '{imports.TEXTS[code][0]}', '{code}', {B(f'({sql})')} AS n, '{imports.TEXTS[code][1]}' || {"': ' || " + ABOUT[code] if code in ABOUT else "''"} "
+      f"WHERE n > 0 OR '{code}' IN ('rows_in', 'rows_out', 'days', 'first_day', 'last_day', 'date_reading')" for code, sql in FINDINGS.items()]]), o.EXPORT, o.PEXP, o.SEXP))
 def _(b: Bed) -> DataFrame:
     return b.imported.findings
 
 
-@query("i20_import_data", q("""SELECT 'sales' AS table_name, COUNT(*) AS row_count FROM imported UNION ALL SELECT 'inventory', COUNT(*) FROM istock
-UNION ALL SELECT 'products', (SELECT COUNT(*) FROM soldp) + (SELECT COUNT(*) FROM unsold)
-UNION ALL SELECT 'restocks', CAST(0 AS BIGINT) UNION ALL SELECT 'warehouses', COUNT(*) FROM (""" + PLACES + ")", o.EXPORT, o.PEXP, o.SEXP))
+PRODUCT_NAMES = ", ".join(TABLE_SCHEMAS["products"].names)
+IMPORTED = {"sales": "SELECT * FROM imported", "inventory": "SELECT * FROM levels", "restocks": "SELECT * FROM restocks WHERE FALSE", "warehouses": PLACES,
+            "products": f"SELECT {PRODUCT_NAMES} FROM soldp UNION ALL SELECT {PRODUCT_NAMES} FROM unsold"}
+
+
+@query("i20_import_data", q(o.figures(IMPORTED, TABLE_SCHEMAS), o.EXPORT, o.PEXP, o.SEXP, IMPORTED_POLICY))
 def _(b: Bed) -> DataFrame:
-    return _counts(b.imported.tables)
+    return _figures(dict(b.imported.tables.items()))
 
 
 STORE_ITEMS = """demand AS (SELECT day AS date, w AS store, p AS item, SUM(CASE WHEN flag <> 'R' THEN qty ELSE 0 END) AS units FROM lines GROUP BY 1, 2, 3)"""
@@ -959,14 +981,13 @@ def _(b: Bed) -> DataFrame:
     return _pack(b, "abc_xyz")
 
 
-DIGEST = f"""SELECT n || ' item(s) need reordering (stockout: ' || s || ', critical <=3d: ' || c || ', low: ' || l || ')' || chr(10) || chr(10) || body
-    || CASE WHEN n > 15 THEN chr(10) || '... and ' || (n - 15) || ' more' ELSE '' END AS message
+DIGEST = f"""SELECT 'Positions due: ' || n || '; Stockout ' || s || '; Critical ' || c || '; Low ' || l || chr(10) || body
+    || CASE WHEN n > 15 THEN chr(10) || 'Further positions: ' || (n - 15) ELSE '' END AS message
 FROM (SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE severity = 'Stockout') AS s, COUNT(*) FILTER (WHERE severity = 'Critical') AS c,
              COUNT(*) FILTER (WHERE severity = 'Low') AS l FROM alerts),
      (SELECT string_agg(line, chr(10) ORDER BY rn) AS body FROM (
-        SELECT rn, severity || ': ' || product_name || ' @ ' || warehouse_name || ': stock ' || current_stock || ' / reorder at ' || reorder_level || ' - '
-            || CASE WHEN days_of_stock_left IS NULL THEN 'n/a' ELSE regexp_replace(CAST(days_of_stock_left AS VARCHAR), '\\.0$', '') || 'd left' END
-            || ', lead time ' || lead_time_days || 'd' AS line
+        SELECT rn, format('[{{}}] {{}}, {{}}: {{}} on hand (level {{}}), {{}}, delivery takes {{}}', severity, warehouse_name, product_name, current_stock, reorder_level,
+            COALESCE('lasts ' || regexp_replace(CAST(days_of_stock_left AS VARCHAR), '\\.0$', '') || ' days', 'no recent sales'), lead_time_days) AS line
         FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY {o.URGENT}) AS rn FROM alerts) WHERE rn <= 15))"""
 
 

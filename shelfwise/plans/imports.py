@@ -25,12 +25,14 @@ TEXTS: dict[str, tuple[str, str]] = {
     "rows_in": (ROWS, "sales rows read"),
     "rows_out": (ROWS, "sales rows imported"),
     "days": (ROWS, "days from the first to the last order"),
+    "first_day": (ROWS, "first order day"),
+    "last_day": (ROWS, "last order day"),
     "date_reading": (ASSUMED, "reading of the date column"),
     "one_place": (ASSUMED, "sales rows without a location column, put at the fallback place"),
     "derived_prices": (ASSUMED, "prices computed as amount over quantity"),
     "assumed_costs": (ASSUMED, "products costed at the fallback share of their price"),
     "assumed_lead_times": (ASSUMED, "products with the fallback lead time"),
-    "recommended_levels": (ASSUMED, "stock positions whose reorder level is the recommended reorder point"),
+    "recommended_levels": (ASSUMED, "stock positions without a reorder level, or with 0, which get the recommended reorder point"),
     "shared_order_ids": (WARNING, "rows left out because an earlier one has their order id; unmap the id if it names a whole invoice"),
     "unlisted_products": (WARNING, "sold products that the product export does not list"),
     "unpriced_products": (WARNING, "products without any price, valued at 1 per unit"),
@@ -72,6 +74,13 @@ def _dropped(df: DataFrame, reason: Column) -> DataFrame:
     return counts.select(F.lit(DROPPED).alias("kind"), "code", "rows", F.col("code").alias("text"))
 
 
+def _dated(df: DataFrame, **codes: Column) -> DataFrame:
+    """Findings that name a day."""
+    entries = [F.struct(F.lit(TEXTS[code][0]).alias("kind"), F.lit(code).alias("code"), F.lit(0).cast("bigint").alias("rows"),
+                        F.concat(F.lit(TEXTS[code][1] + ": "), F.date_format(code, "yyyy-MM-dd")).alias("text")) for code in codes]
+    return df.agg(*[c.alias(code) for code, c in codes.items()]).select(F.explode(F.array(*entries)).alias("f")).select("f.*")
+
+
 def _noted(spark: SparkSession, code: str, rows: int = 0, about: str = "") -> DataFrame:
     """A finding about the columns, not the data."""
     kind, text = TEXTS[code]
@@ -125,6 +134,7 @@ def import_data(sales: Export, stock: Export | None = None, products: Export | N
     tables = Tables(im.places(priced), dimension, spark.createDataFrame([], INVENTORY), spark.createDataFrame([], RESTOCKS), priced)
     days = F.datediff(F.max("order_date"), F.min("order_date")) + 1
     said.append(_counted(priced, days=days, short_history=F.when(days < SHORT_HISTORY_DAYS, days)))
+    said.append(_dated(priced, first_day=F.min("order_date"), last_day=F.max("order_date")))
     if stock is None:
         said.append(_noted(spark, "no_stock"))
     else:

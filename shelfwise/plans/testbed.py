@@ -138,15 +138,16 @@ def raw_warehouses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("region", F.lit("  ")).alias("region"))
 
 
-def raw_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stock counts as text with gaps, unknown products and a second row per pair."""
+def raw_inventory(spark: SparkSession, sf_dir: str, overflowing: bool = False) -> DataFrame:
+    """Stock counts as text with gaps, unknown products and a second row per pair; on request a few counts that are too large."""
     stock = inventory(spark, sf_dir)
     key = F.col("product_id").cast("bigint") + F.col("warehouse_id").cast("bigint")
     copies = F.explode(F.array(F.lit(0), F.lit(100))).alias("copy")
     return stock.select("*", copies).select(
         "warehouse_id",
         F.when(key % 53 == 2, F.concat(F.lit("X"), "product_id")).otherwise(F.col("product_id")).alias("product_id"),
-        F.when(key % 47 == 1, F.lit("none")).otherwise((F.col("current_stock") + F.col("copy")).cast("string")).alias("current_stock"),
+        F.when((key % 83 == 9) & (F.col("copy") == 0) & F.lit(overflowing), F.lit(TOO_LARGE))
+        .when(key % 47 == 1, F.lit("none")).otherwise((F.col("current_stock") + F.col("copy")).cast("string")).alias("current_stock"),
         F.when(key % 43 == 1, F.lit(None).cast("string")).otherwise(F.col("reorder_level").cast("string")).alias("reorder_level"))
 
 
@@ -156,15 +157,21 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 # ------------------------------------------------------------------------------------------- exports of a business
-def sales_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A shop's own sales export: day-first dates, currency text, returns, blank codes, missing invoice numbers."""
+# Rows of an export or a stock count with a number that no canonical type holds.
+TOO_LARGE = "99999999999"
+
+
+def sales_export(spark: SparkSession, sf_dir: str, overflowing: bool = False) -> DataFrame:
+    """A shop's own sales export: day-first dates, currency text, returns, blank codes, missing invoice numbers; on request a few
+    quantities that are too large."""
     lines = order_lines(spark, sf_dir)
     key, qty = F.col("l_orderkey") + F.col("l_linenumber") + F.col("l_partkey"), F.col("l_quantity").cast("int")
     return lines.select(
         F.when(key % 89 == 7, F.lit("not a date")).otherwise(F.date_format(_ship_day(), "dd/MM/yyyy")).alias("Bill Date"),
         F.when(key % 59 == 3, F.lit("  ")).when(key % 59 == 4, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit(" "), _text("l_partkey"), F.lit(" "))).alias("Item Code"),
-        F.when(key % 47 == 2, F.lit(None).cast("string")).when(key % 47 == 1, F.lit("0"))
+        F.when((key % 83 == 9) & F.lit(overflowing), F.lit(TOO_LARGE))
+        .when(key % 47 == 2, F.lit(None).cast("string")).when(key % 47 == 1, F.lit("0"))
         .when(F.col("l_returnflag") == "R", (-qty).cast("string")).otherwise(qty.cast("string")).alias("Qty Sold"),
         F.when(key % 61 != 5, _text("s_nationkey")).alias("Branch"),
         F.when(key % 5 != 0, _messy_price(half_up(F.try_divide("l_extendedprice", "l_quantity"), 2), key)).alias("Rate"),

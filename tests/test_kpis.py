@@ -74,7 +74,7 @@ def test_alerts_read_counts_before_the_limit(tables):
 def test_digest(tables):
     alerts = kpis.reorder_alerts(tables.sales, tables.inventory, tables.products, tables.warehouses)
     text = su.alert_digest(alerts).first().message
-    assert text.splitlines()[0].startswith("3 item(s) need reordering (stockout: 1, critical <=3d: 0, low: 2)")
-    assert text.index("Gamma") < text.index("Alpha") and "Delhi" in text and "more" not in text
-    assert su.alert_digest(alerts, lines=1).first().message.endswith("... and 2 more")
-    assert su.alert_digest(alerts.filter("false")).first().message == "All products are above their reorder level."
+    assert text.splitlines()[0] == "Positions due: 3; Stockout 1; Critical 0; Low 2"
+    assert text.index("Gamma") < text.index("Alpha") and "Delhi" in text and "Further" not in text
+    assert su.alert_digest(alerts, lines=1).first().message.endswith("Further positions: 2")
+    assert su.alert_digest(alerts.filter("false")).first().message == "No position is due."
