@@ -1,11 +1,17 @@
-"""Global order without a global window: running totals, row numbers, ranks, tiles and exact quantiles.
+"""Global order without a global window: running totals, row numbers, ranks, tiles, selected places and exact quantiles.
 
-Rows are range-partitioned by the full sort order, staged with their slice number, and each slice is numbered on its own.
-Only the slice totals (one row per partition) meet in one place. Ties in the order must be broken by the caller.
+Running totals and row numbers: rows are range-partitioned by the full sort order, staged with their slice number, and each slice
+is numbered on its own. Only the slice totals (one row per partition) meet in one place. Ties in the order must be broken by the caller.
+
+Where a few places of the order are asked for (borders of classes, a median) nothing is sorted: `select_places` brackets each with
+a quantile sketch and counts exactly what lies below and inside the brackets.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.staging import stage
@@ -51,6 +57,67 @@ def tile(position: Column, total: Column, tiles: int) -> Column:
     return F.when(position <= wide, in_wide).otherwise(in_narrow)
 
 
+#: Rank error of the sketch is one part in SKETCH; brackets reach a few times as far. Fewer rows are counted without brackets.
+SKETCH, BRACKET, SMALL = 10_000, 0.0005, 100_000
+
+
+@dataclass(frozen=True)
+class Place:
+    """A place of the ascending order: its value, the rows before all equal ones, and the number of equal ones."""
+
+    value: float
+    before: int
+    ties: int
+
+
+def select_places(df: DataFrame, value: Column, places: dict[str, float], at: Callable[[int], dict[str, int]]) -> tuple[int, dict[str, Place]]:
+    """Number of rows with a value, and the places that `at` names by 0-based rank once it is known; `places` says roughly where.
+
+    The values are read twice. What meets in one task is a row per distinct value inside a bracket, about a thousandth of the rows for
+    each place, and a row for each gap between brackets. Should the sketch have missed a place, all values are counted.
+    """
+    held = df.select(value.cast("double").alias("_v")).filter("_v IS NOT NULL")
+    edges = sorted({min(max(p + d, 0.0), 1.0) for p in places.values() for d in (-BRACKET, BRACKET)})
+    sketch = F.percentile_approx("_v", [*edges], SKETCH)
+    n, found = held.agg(F.count("*"), sketch).first()
+    ranks = {name: rank for name, rank in at(n).items() if 0 <= rank < n}
+    low = {name: found[edges.index(min(max(p - BRACKET, 0.0), 1.0))] for name, p in places.items()} if n > SMALL else {}
+    high = {name: found[edges.index(min(max(p + BRACKET, 0.0), 1.0))] for name, p in places.items()} if n > SMALL else {}
+
+    def counted(bracketed: bool) -> dict[str, Place]:
+        v = F.col("_v")
+        inside, gap = F.lit(not bracketed), F.lit(0)
+        for name in low if bracketed else ():
+            inside = inside | v.between(low[name], high[name])
+            gap = gap + (v > high[name]).cast("int")
+        groups = held.groupBy(gap.alias("_gap"), F.when(inside, v).alias("_k")).agg(F.count("*").alias("_c"), F.min(v).alias("_least"))
+        upto = F.sum("_c").over(Window.orderBy("_least").rowsBetween(Window.unboundedPreceding, 0))
+        placed = groups.select("_k", "_c", (upto - F.col("_c")).alias("_before"))
+        wanted = F.lit(False)
+        for rank in ranks.values():
+            wanted = wanted | ((F.col("_before") <= rank) & (F.col("_before") + F.col("_c") > rank))
+        rows = placed.filter(wanted & F.col("_k").isNotNull()).collect()          # a row per place at most
+        return {name: Place(r["_k"], r["_before"], r["_c"]) for name, rank in ranks.items() for r in rows if r["_before"] <= rank < r["_before"] + r["_c"]}
+
+    picked = counted(bool(low))
+    return n, picked if len(picked) == len(ranks) else counted(False)
+
+
+def rows_at(df: DataFrame, order: list[Column], places: list[int], n: int, label: str) -> dict[int, Row]:
+    """The rows at 1-based places of the order of `n` rows, for a few places: sorted by one task where rows are few, else numbered."""
+    if n <= SMALL:
+        numbered = df.withColumn("_at", F.row_number().over(Window.orderBy(*order)))
+    else:
+        numbered = number_rows(df, order, "_at", label)
+    return {r["_at"]: r for r in numbered.filter(F.col("_at").isin(places)).collect()}
+
+
+def median(df: DataFrame, value: Column) -> float | None:
+    """Exact interpolated median of a whole frame, nulls ignored; None without values."""
+    n, picked = select_places(df, value, {"low": 0.5, "high": 0.5}, lambda n: {"low": (n - 1) // 2, "high": n // 2})
+    return (picked["low"].value + picked["high"].value) / 2 if n else None
+
+
 def skip_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """RANK() by `value` descending: one plus the number of rows with a larger value; null values rank nowhere."""
     df = stage(df, "to-rank")

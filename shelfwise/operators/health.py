@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import half_up, ratio
 from shelfwise.functions.months import recent
-from shelfwise.functions.ordering import quantiles
+from shelfwise.functions.ordering import median
 from shelfwise.functions.staging import stage
 from shelfwise.schemas import PAIR
 
@@ -32,7 +32,7 @@ def inventory_health(sales: DataFrame, policy_rows: DataFrame, dead_days: int =
         F.count_if(F.col("stockout_risk_pct") >= risk_threshold).alias("at_risk_items"))
     dead = dead_stock(sales, policy_rows, dead_days).agg(
         F.struct(F.count("*").alias("items"), money("stock_value").alias("value"))).scalar()
-    cover = quantiles(policy_rows.select("days_of_cover"), [], "days_of_cover", {"median": 0.5}).agg(F.max("median")).scalar()
+    cover = F.lit(median(policy_rows, F.col("days_of_cover"))).cast("double")
     excess = F.coalesce(half_up(ratio(F.col("excess_value") * 100, F.col("stock_value")), 1), F.lit(0.0))
     return totals.select(
         "stock_value", "excess_value", excess.alias("excess_pct"), dead["items"].alias("dead_stock_items"),

@@ -5,14 +5,12 @@ and no join carries raw order lines.
 """
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import half_up, positive, ratio
 from shelfwise.functions.months import recent, within
-from shelfwise.functions.ordering import number_rows, running_totals
+from shelfwise.functions.ordering import rows_at, select_places
 from shelfwise.functions.staging import stage
 from shelfwise.schemas import PAIR
 
@@ -67,33 +65,39 @@ def opening_stock(restocks: DataFrame) -> DataFrame:
 def quartile_labels(df: DataFrame, keys: list[str], nulls_first: bool = False) -> DataFrame:
     """Add movement_class: Fast and Slow for the first and the last of four equal tiles by turnover, largest first, Medium between.
 
-    Turnover is rounded, so rows are counted per value; a value that lies within one class gives its rows that class, and only the
-    rows of a value that a border runs through are put in order. Rows without turnover are left `n/a`, or come first if so asked.
+    The two border values are selected, not sorted for; a class is then a comparison with them. Only the rows of a value that a border
+    runs through are put in order, by key. Rows without turnover are left `n/a`, or come first if so asked.
     """
-    value = F.col("stock_turnover")
-    order = [F.col("_value").desc_nulls_first()] if nulls_first else [F.col("_value").desc()]
-    rated = df if nulls_first else df.filter(value.isNotNull())
-    counts = rated.groupBy(value.alias("_value")).agg(F.count("*").alias("_n"))
-    upto = running_totals(counts, order, {"_upto": F.col("_n")}, "turnover-values")
-    size, extra = F.floor(F.col("_upto_total") / 4), F.col("_upto_total") % 4
-    placed = upto.select("_value", (F.col("_upto") - F.col("_n")).alias("_before"), "_upto", (size + F.least(extra, F.lit(1))).alias("_fast"),
-                         (F.col("_upto_total") - size).alias("_rest"))
-    whole = (F.when(F.col("_upto") <= F.col("_fast"), "Fast").when(F.col("_before") >= F.col("_rest"), "Slow")
-             .when((F.col("_before") >= F.col("_fast")) & (F.col("_upto") <= F.col("_rest")), "Medium"))
-    valued = stage(placed.withColumn("_class", whole), "turnover-classes")
-    joined = df.join(valued, value.eqNullSafe(F.col("_value")) if nulls_first else value == F.col("_value"), "left")
-
-    border = valued.filter("_class IS NULL")
-    split = df.join(border, value.eqNullSafe(F.col("_value"))).select(*keys, "_value", "_before", "_fast", "_rest")
-    numbered = number_rows(split, [*order, *[F.col(k).asc() for k in keys]], "_at", "turnover-border")
-    starts = numbered.groupBy("_value").agg((F.min("_at") - 1).alias("_first"))
-    ranked = numbered.join(starts, numbered["_value"].eqNullSafe(starts["_value"]))
-    rank = F.col("_before") + F.col("_at") - F.col("_first")
-    single = F.when(rank <= F.col("_fast"), "Fast").when(rank > F.col("_rest"), "Slow").otherwise("Medium")
-    ordered = ranked.select(*[F.col(k).alias(f"_k_{k}") for k in keys], single.alias("_single"))
-    match = [joined[k].eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    labelled = joined.join(ordered, reduce(Column.__and__, match), "left")
-    return labelled.select(*df.columns, F.coalesce("_class", "_single", F.lit("n/a")).alias("movement_class"))
+    value = F.col("stock_turnover").cast("double")
+    value = F.coalesce(value, F.lit(float("inf"))) if nulls_first else value
+
+    def size(n: int) -> tuple[int, int]:
+        """Rows of the first and of the last tile: the first tiles take what is left over."""
+        return n // 4 + min(n % 4, 1), n // 4
+
+    n, border = select_places(df, value, {"Fast": 0.75, "Slow": 0.25}, lambda n: {"Fast": n - size(n)[0], "Slow": size(n)[1] - 1})
+    # of the rows with a border's value, so many come first, in the order of their keys, to the upper side of the border
+    upper = {name: {"Fast": size(n)[0], "Slow": n - size(n)[1]}[name] - (n - b.before - b.ties) for name, b in border.items()}
+    split = {name: b for name, b in border.items() if 0 < upper[name] < b.ties}
+    last_key = {}
+    if split:
+        values = sorted({b.value for b in split.values()}, reverse=True)
+        order = [F.col("_value").desc(), *[F.col(k).asc() for k in keys]]
+        tied = df.select(*keys, value.alias("_value")).filter(F.col("_value").isin(values))
+        rows_of = {b.value: b.ties for b in split.values()}
+        at = {name: sum(rows_of[v] for v in values if v > b.value) + upper[name] for name, b in split.items()}
+        found = rows_at(tied, order, list(at.values()), sum(rows_of.values()), "turnover-border")
+        last_key = {name: F.struct(*[F.lit(found[place][k]).alias(k) for k in keys]) for name, place in at.items()}
+
+    def above(name: str) -> Column:
+        """Whether a row is on the upper side of the border of a class."""
+        if name not in border:
+            return F.lit(name == "Slow")
+        tie = F.struct(*keys) <= last_key[name] if name in last_key else F.lit(upper[name] > 0)
+        return (value > border[name].value) | ((value == border[name].value) & tie)
+
+    label = F.when(value.isNull(), "n/a").when(above("Fast"), "Fast").when(above("Slow"), "Medium").otherwise("Slow")
+    return df.withColumn("movement_class", label)
 
 
 def movement_classes(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,5 +1,12 @@
+import math
+import random
+import statistics
+
+import pytest
 from builders import by
+from pyspark.sql import functions as F
 
+from shelfwise.functions import ordering
 from shelfwise.operators import kpis, served
 from shelfwise.operators import summaries as su
 
@@ -78,3 +85,21 @@ def test_digest(tables):
     assert text.index("Gamma") < text.index("Alpha") and "Delhi" in text and "Further" not in text
     assert su.alert_digest(alerts, lines=1).first().message.endswith("Further positions: 2")
     assert su.alert_digest(alerts.filter("false")).first().message == "No position is due."
+
+
+@pytest.mark.parametrize("small", [10**6, 20])
+def test_classes_and_median_by_selection(spark, monkeypatch, small):
+    """Borders that run through equal values, rows without a turnover, and few rows; with and without brackets."""
+    monkeypatch.setattr(ordering, "SMALL", small)
+    rng = random.Random(4)
+    for n in (0, 3, 400):
+        rows = [(f"W{rng.randrange(4)}", f"P{i}", rng.choice([None, 0.0, 1.0, 1.0, 2.5, round(rng.random(), 2)])) for i in range(n)]
+        df = spark.createDataFrame(rows, "warehouse_id string, product_id string, stock_turnover double")
+        for nulls_first in (False, True):
+            rated = sorted((-(math.inf if v is None else v), w, p) for w, p, v in rows if nulls_first or v is not None)
+            size, extra = divmod(len(rated), 4)
+            want = {(w, p): "Fast" if k < size + (extra > 0) else "Slow" if k >= len(rated) - size else "Medium" for k, (_, w, p) in enumerate(rated)}
+            got = {(r.warehouse_id, r.product_id): r.movement_class for r in kpis.quartile_labels(df, ["warehouse_id", "product_id"], nulls_first).collect()}
+            assert got == {(w, p): want.get((w, p), "n/a") for w, p, _ in rows}
+        values = [v for _, _, v in rows if v is not None]
+        assert ordering.median(df, F.col("stock_turnover")) == (statistics.median(values) if values else None)
