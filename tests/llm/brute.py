@@ -25,7 +25,7 @@ def shingles(text: str | None) -> frozenset:
     return frozenset(tuple(w[k:k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def near_duplicates(rows) -> dict:
+def near_duplicates(rows, percent: int = 85) -> dict:
     """doc_id -> (set size, component) by all pairs that share a shingle."""
     sets = {i: shingles(t) for i, t in rows}
     parent = {i: i for i in sets}
@@ -43,7 +43,7 @@ def near_duplicates(rows) -> dict:
     for ids in holders.values():
         common.update((a, b) for n, a in enumerate(ids) for b in ids[n + 1:])
     for (a, b), c in common.items():
-        if 100 * c >= 85 * (len(sets[a]) + len(sets[b]) - c):
+        if 100 * c >= percent * (len(sets[a]) + len(sets[b]) - c):
             a, b = sorted((root(a), root(b)))
             parent[b] = a
     return {i: (len(sets[i]), root(i)) for i in sets}
@@ -96,14 +96,18 @@ def targets(sizes: list[int], weights=(5, 2, 1)) -> list[float]:
     return out
 
 
-def top_k(rows, k: int = 20) -> dict:
-    """query id -> [(vec_id, score)] by all pairs; rows (id, vector)."""
+def top_k(rows, k: int = 20) -> list:
+    """(query id, rank, vec_id, score) by all pairs of rows (id, vector)."""
     good = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows
             if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     width = max((len(v) for _, v in good), default=0)
     good = [(i, v + [0] * (width - len(v))) for i, v in good]
-    return {q: sorted(((i, sum(a * b for a, b in zip(x, y))) for i, y in good if i != q), key=lambda r: (-r[1], r[0]))[:k]
-            for q, x in good if q % 20 == 0}
+    out = []
+    for own, (q, x) in enumerate(good):
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y)), i) for n, (i, y) in enumerate(good) if n != own)[:k]
+            out += [(q, rank, i, -score) for rank, (score, i) in enumerate(best, 1)]
+    return sorted(out)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> int:
