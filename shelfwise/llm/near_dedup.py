@@ -242,7 +242,9 @@ def _large_groups(rows: DataFrame) -> DataFrame:
     work = named.groupBy("cluster").agg(F.sum(F.col("n") * F.col("n")).alias("_by_bucket"))
     size = placed.groupBy("cluster").agg(F.count_distinct("rep").alias("_members"))
     cheaper = work.join(size, "cluster").select(F.col("cluster").alias("_c"), (F.col("_members") * F.col("_members") <= F.col("_by_bucket")).alias("_one"))
-    joined = placed.join(cheaper, F.col("cluster") == F.col("_c"))
+    # the verdict goes to the buckets first, one row each, then to the rows by bucket: no row is dealt by cluster
+    flags = named.join(cheaper, F.col("cluster") == F.col("_c")).select("key", "cluster", "_one")
+    joined = rows.join(flags, "key")
     group = F.when(F.col("_one"), F.struct(F.lit(0).cast("bigint").alias("kind"), F.col("cluster").alias("id")))
     return joined.select(group.otherwise(F.struct(F.lit(1).cast("bigint").alias("kind"), F.col("key").alias("id"))).alias("grp"),
                          "rep", "component").distinct()
