@@ -1,4 +1,5 @@
 """The stages against plain restatements, each on its own input."""
+import re
 from collections import Counter
 
 import brute
@@ -44,21 +45,29 @@ def test_quality(stages, spark, sf_dir):
 
 def test_near_duplicates(stages):
     before, after = stages["near_duplicates"]
-    found = brute.near_duplicates([(i, t) for i, t, _ in rows(before)])
+    found = brute.near_duplicates([(i, t) for i, t, _ in rows(before)], 80)
     assert sorted(rows(after), key=str) == sorted([r for r in rows(before) if found[r[0]][1] == r[0]], key=str)
 
 
 def test_repeated_lines(stages):
     before, after = stages["repeated_lines"]
-    seen, want = set(), []
+    seen, said, want = set(), set(), []
     for i, text, source in sorted(rows(before)):
         kept = []
         for line in text.split("\n"):
             norm = tuple(line_dedup.normalised(line))
-            if len(norm) < line_dedup.MIN_WORDS or norm not in seen:
-                kept.append(line)
             if len(norm) >= line_dedup.MIN_WORDS:
+                if norm in seen:
+                    continue
                 seen.add(norm)
+            rest = ""
+            for sentence in re.split(r"(?<=[.!?])(?=[ \t])", line):
+                norm = tuple(line_dedup.normalised(sentence))
+                if len(norm) < line_dedup.SENTENCE_WORDS or norm not in said:
+                    rest += sentence
+                if len(norm) >= line_dedup.SENTENCE_WORDS:
+                    said.add(norm)
+            kept.append(rest)
         left = "\n".join(kept)
         if left == text or brute.words(left):
             want.append((i, left, source))
