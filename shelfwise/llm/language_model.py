@@ -1,21 +1,26 @@
-"""Language-model scores by logistic mixing of hashed-context bit predictors (operator 5).
+"""Language-model scores by logistic mixing of context bit predictors (operator 5).
 
 The text, lower-cased, is predicted bit by bit, ended by a byte that no text has. Six predictors look at the last one to five
-bytes and at the word so far; each keeps counts of zeros and ones per context and bit in a hashed table of fixed size, where a
-check byte tells contexts apart and the more frequent one keeps a slot. Their stretched probabilities are mixed with weights chosen
-by a gate (bit position, longest context seen, word seen); the mix is refined by an adaptive probability map. Weights and map
-are learned online, example by example in small steps, with each example's own count left out of the predictors.
+bytes and at the word so far (its last five bytes); each keeps counts of zeros and ones per context and bit. Their stretched
+probabilities are mixed with weights chosen by a gate (bit position, longest context seen, word seen); the mix is refined by an
+adaptive probability map. Weights and map are learned online, example by example in small steps, with each example's own count left
+out of the predictors.
 
-Spark does the counting: text batches emit their distinct words and six-byte strings with counts, shards add these up, and the
-predictor tables are built from the totals. Every byte of the training text is an example: those with a gap among the last five
-bytes through the six-byte strings, the others through the words. Each shard learns weights on its totals; they are averaged.
-Nothing that grows with the corpus reaches the driver: it holds the table (2^TABLE_BITS slots of 5 bytes), weights and map.
+What an event (a byte with the five before it) needs is a function of these six bytes, so Spark works on distinct six-byte strings.
+Text batches emit theirs with their training counts; shards by the hash of the last three context bytes add them up. A shard
+holds every string of its contexts, hence all counts of orders three to five and of words so far from three bytes on. Orders one and
+two and shorter words so far are counts by at most three bytes, whatever the corpus (fewer than 2^25 numbers); they are added up and
+broadcast. No count is dropped or approximated, and the sharded table grows with the corpus. Each shard learns weights on its totals;
+their average by what each has seen is added up in Spark, of which one set reaches the driver. Shards then compute the probability of
+every distinct string once and send it (single precision) back to the batches that hold the string.
+
+A string of one hot context is one entry however often it occurs, so copies and frequent words add no rows to a shard.
 
 Base score: add-0.1 unigram of the words and an end token. Words are compared by 64-bit fingerprints.
 
 Defined cases: a null text is empty and scores its end alone; a null doc_id counts as the text '' for the split; rows that share a
-doc_id are scored each on its own; without training documents the predictors know nothing; an empty table gives no rows;
-further columns are ignored.
+doc_id are scored each on its own, and each counts in training; without training documents the predictors know nothing; an empty
+table gives no rows; further columns are ignored; long texts are read in pieces, with the bytes before each piece.
 """
 from __future__ import annotations
 
@@ -30,32 +35,29 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.staging import stage
 from shelfwise.llm.batches import by_batch, opened, text_batches
-from shelfwise.llm.shingles import GAP, LOWER, VALUE, inverse, mix64, powers, word_hashes, word_places
+from shelfwise.llm.shingles import GAP, LOWER, mix64, word_hashes
 
 HELD_OUT = 10
 SMOOTH = 0.1
 ORDERS = 5
 INPUTS = ORDERS + 1
+#: Contexts of fewer bytes are counted for all shards together.
+LOCAL = 3
 END_BYTE = 0xFF
-TABLE_BITS = 23
-SEGMENT_BITS = 15
-#: A word so far is hashed over this many bytes at most.
-REACH = 32
 CHUNK = 1 << 19
 SHARD_BYTES = 8 << 20
-EVENTS_AT_ONCE = 1 << 17
+EVENTS_AT_ONCE = 1 << 16
 GATES = 8 * (ORDERS + 1) * 2
 STEPS, MAP_CELLS = 1024, 33
 RATE, MAP_RATE, PRIOR = 0.5, 0.02, 0.4
-CACHE_BITS = 20
 WORD, GRAM = 0, 1
+CODEC = "zstd"
 U = np.uint64
 
-ENTRIES = "kind int, shard int, batch bigint, hashes binary, counts binary, words binary, lengths binary"
-TOTALS = "kind int, batch bigint, hashes binary, counts binary, words binary, lengths binary"
-SLOTS = "segment int, slots binary, zeros binary, ones binary"
-SEGMENTS = "segment int, checks binary, zeros binary, ones binary"
-LEARNED = "weights binary, cells binary, seen binary, cell_seen binary"
+ENTRIES = "kind int, shard int, batch bigint, codes binary, counts binary"
+SHORT = "key bigint, n bigint"
+LEARNED = "cell int, weighted double, seen double"
+BACK = "kind int, batch bigint, codes binary, results binary"
 RESULT = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, "
           "n_bytes bigint")
 
@@ -64,17 +66,7 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % HELD_OUT == 0
 
 
-@dataclass
-class Events:
-    """Byte events of some texts: the document, the six bytes up to and with the event, the fingerprint of the word so far."""
-    doc: np.ndarray
-    code: np.ndarray
-    prefix: np.ndarray
-
-
-def _prefix_mark(sums: np.ndarray, length: np.ndarray) -> np.ndarray:
-    return mix64(sums + length.astype(U))
-
+# Events and contexts
 
 def _parts(offsets: np.ndarray) -> Iterator[list[tuple[int, int, int, bool]]]:
     """Groups of (document, from, to, ends here); long documents are cut."""
@@ -91,409 +83,316 @@ def _parts(offsets: np.ndarray) -> Iterator[list[tuple[int, int, int, bool]]]:
         yield held
 
 
-def events(data: np.ndarray, offsets: np.ndarray) -> Iterator[Events]:
-    """All byte events of all texts, the end of a text included."""
+def events(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document, code) of all byte events of all texts, the end of a text included; a code is the six bytes up to and with the event."""
     start, end = np.zeros(ORDERS, np.uint8), np.array([END_BYTE], np.uint8)
     for parts in _parts(offsets):
         pieces, skip, take = [], [], []
         for doc, a, b, ends in parts:
-            back = min(a, REACH + ORDERS)
+            back = min(a, ORDERS)
             pieces += [start, data[offsets[doc] + a - back:offsets[doc] + b]] + ([end] if ends else [])
             skip.append(ORDERS + back)
             take.append(b - a + ends)
         chunk = LOWER[np.concatenate(pieces)]
-        n = len(chunk)
         skip, take = np.array(skip), np.array(take)
         first = np.cumsum(skip + take) - take
         at = np.arange(take.sum()) + np.repeat(first - (np.cumsum(take) - take), take)
-        code = np.zeros(len(at), U)
+        code = np.zeros(len(chunk), U)
         for back in range(ORDERS, -1, -1):
-            code = (code << U(8)) | chunk[at - back]
-        # the word so far: from the last gap (or text start) on
-        gap = GAP[chunk] | (chunk == 0)
-        opened_at = np.maximum.accumulate(np.where(gap, np.arange(n) + 1, 0))
-        begin = np.maximum(opened_at[at - 1], at - REACH)
-        power = powers(n)
-        sums = np.zeros(n + 1, U)
-        np.cumsum(VALUE[chunk] * power[:n], out=sums[1:])
-        marks = (sums[at] - sums[begin]) * power[n - begin] * inverse(n)
-        yield Events(np.repeat(np.array([p[0] for p in parts]), take), code, _prefix_mark(marks, at - begin))
+            code[back:] |= chunk[:len(chunk) - back].astype(U) << U(8 * back)
+        yield np.repeat(np.array([p[0] for p in parts]), take), code[at]
+
+
+def context_keys(code: np.ndarray) -> np.ndarray:
+    """Context and next byte of each predictor as one number, a row a predictor: its kind, the context bytes, the byte."""
+    rows = [(code & U((1 << 8 * (k + 1)) - 1)) | U(k << 56) for k in range(1, ORDERS + 1)]
+    length, open_ = np.zeros(len(code), U), np.ones(len(code), bool)
+    for k in range(1, ORDERS + 1):
+        byte = ((code >> U(8 * k)) & U(0xFF)).astype(np.uint8)
+        open_ &= ~(GAP[byte] | (byte == 0))
+        length += open_
+    rows.append((code & ((U(1) << (U(8) * (length + U(1)))) - U(1))) | ((length + U(INPUTS)) << U(56)))
+    return np.stack(rows)
+
+
+def _is_short(keys: np.ndarray) -> np.ndarray:
+    """Whether the context of a key has fewer than LOCAL bytes."""
+    kind = (keys >> U(56)).astype(np.int64)
+    return np.where(kind <= ORDERS, kind, kind - INPUTS) < LOCAL
 
 
-def contexts(code: np.ndarray, prefix: np.ndarray) -> np.ndarray:
-    """Context fingerprints of the predictors, one row each."""
-    history = code >> U(8)
-    rows = [mix64((history & U((1 << 8 * k) - 1)) * U(INPUTS + 2) + U(k)) for k in range(1, ORDERS + 1)]
-    return np.stack([*rows, mix64(prefix * U(INPUTS + 2))])
+def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and their total counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys)
+    keys = keys[order]
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[heads], np.add.reduceat(counts[order], heads)
 
 
-def slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Slot and check byte in one number: the slot above, the check in the last eight bits."""
-    spread = (context ^ (node.astype(U) * U(0x9E3779B97F4A7C15))) * U(0xD6E8FEB86659FD93)
-    return spread >> U(64 - TABLE_BITS - 8)
+def _key_counts(code: np.ndarray, counts: np.ndarray, short: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of distinct events, those of short contexts or the others, with their counts."""
+    keys = context_keys(code).ravel()
+    wanted = _is_short(keys) == short
+    return _counted(keys[wanted], np.tile(counts, INPUTS)[wanted])
 
 
 @dataclass
-class Model:
-    checks: np.ndarray
-    zeros: np.ndarray
-    ones: np.ndarray
+class Predictors:
+    """Counts of all keys of some events. `paths[p]` holds, for each key, how often its context was followed by a byte with the
+    first p bits of the key's byte: the difference of two rows gives the zeros and ones of a bit."""
+    keys: np.ndarray
+    paths: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, counts: np.ndarray) -> Predictors:
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order].astype(np.float64)
+        paths = np.zeros((9, len(keys)))
+        for p in range(9):
+            group = keys >> U(8 - p)
+            heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            if len(heads):
+                paths[p] = np.repeat(np.add.reduceat(counts, heads), np.diff(np.append(heads, len(keys))))
+        return cls(keys, paths)
+
+    def places(self, code: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.keys, context_keys(code))
+
+
+@dataclass
+class Mixer:
     weights: np.ndarray
     cells: np.ndarray
 
-    def inputs(self, context: np.ndarray, node: np.ndarray, bit: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Stretched predictions, whether each context is known, for one bit; `own` leaves out one count of the bit itself."""
-        found = slots(context, node)
-        at = (found >> U(8)).astype(np.int64)
-        same = self.checks[at] == (found & U(0xFF)).astype(np.uint8)
-        zeros, ones = np.where(same, self.zeros[at], 0).astype(np.float32), np.where(same, self.ones[at], 0).astype(np.float32)
-        if own:
-            zeros, ones = np.maximum(zeros - (1 - bit), 0), np.maximum(ones - bit, 0)
-        return np.log((ones + PRIOR) / (zeros + PRIOR)), zeros + ones > 0, found
+    @classmethod
+    def fresh(cls) -> Mixer:
+        """Weights and map before learning."""
+        centre = np.linspace(-11, 11, MAP_CELLS)
+        return cls(np.full((GATES, INPUTS), 0.3), np.tile(1 / (1 + np.exp(-centre)), (GATES, 1)))
 
     @staticmethod
     def gate(position: int, seen: np.ndarray) -> np.ndarray:
         longest = np.max(seen[:ORDERS] * np.arange(1, ORDERS + 1)[:, None], axis=0)
         return (position * (ORDERS + 1) + longest) * 2 + seen[ORDERS]
 
-    def bits(self, code: np.ndarray, prefix: np.ndarray, counts: np.ndarray | None = None, tally: list | None = None) -> np.ndarray:
+    def bits(self, predictors: Predictors, code: np.ndarray, counts: np.ndarray | None = None, tally: list | None = None) -> np.ndarray:
         """log2 probability of each event. With `counts`, learn from the events, one step per bit position."""
         learn = counts is not None
-        total = np.zeros(len(code))
-        context, byte, node = contexts(code, prefix), (code & U(0xFF)).astype(np.int64), np.ones(len(code), np.int64)
+        total, at, byte = np.zeros(len(code)), predictors.places(code), (code & U(0xFF)).astype(np.int64)
+        reached = predictors.paths[0][at] - learn
         for position in range(8):
             bit = (byte >> (7 - position)) & 1
-            stretched, seen, _ = self.inputs(context, node, bit, learn)
-            gate = self.gate(position, seen)
+            same = predictors.paths[position + 1][at] - learn
+            stretched = np.log((same + PRIOR) / (reached - same + PRIOR)) * (2 * bit - 1)
+            gate = self.gate(position, reached > 0)
             z = np.einsum("kn,nk->n", stretched, self.weights[gate]).clip(-11, 11)
             mixed = 1 / (1 + np.exp(-z))
             cell = np.rint((z + 11) * (MAP_CELLS - 1) / 22).astype(np.int64)
-            refined = self.cells[gate, cell]
-            p = ((mixed + refined) / 2).clip(2.0**-16, 1 - 2.0**-16)
+            p = ((mixed + self.cells[gate, cell]) / 2).clip(2.0**-16, 1 - 2.0**-16)
             total += np.log2(np.where(bit == 1, p, 1 - p))
             if learn:
-                weight = np.bincount(gate, counts, GATES)
-                scale = counts * (bit - mixed)
-                for k in range(INPUTS):
-                    step = np.bincount(gate, scale * stretched[k], GATES)
-                    self.weights[:, k] += RATE * step / np.maximum(weight, 1e-9) * (weight > 0)
-                flat = gate * MAP_CELLS + cell
-                size = np.bincount(flat, counts, GATES * MAP_CELLS).reshape(GATES, MAP_CELLS)
-                ones = np.bincount(flat, counts * bit, GATES * MAP_CELLS).reshape(GATES, MAP_CELLS)
-                rate = np.minimum(MAP_RATE * np.log1p(size), 0.5)
-                self.cells += rate * (np.divide(ones, size, out=self.cells.copy(), where=size > 0) - self.cells)
-                tally[0] += weight
-                tally[1] += size
-            node = node * 2 + bit
+                self._learn(gate, cell, bit, counts, stretched, mixed, tally)
+            reached = same
         return total
 
+    def _learn(self, gate, cell, bit, counts, stretched, mixed, tally) -> None:
+        weight = np.bincount(gate, counts, GATES)
+        scale = counts * (bit - mixed)
+        for k in range(INPUTS):
+            step = np.bincount(gate, scale * stretched[k], GATES)
+            self.weights[:, k] += RATE * step / np.maximum(weight, 1e-9) * (weight > 0)
+        flat = gate * MAP_CELLS + cell
+        size = np.bincount(flat, counts, GATES * MAP_CELLS).reshape(GATES, MAP_CELLS)
+        ones = np.bincount(flat, counts * bit, GATES * MAP_CELLS).reshape(GATES, MAP_CELLS)
+        rate = np.minimum(MAP_RATE * np.log1p(size), 0.5)
+        self.cells += rate * (np.divide(ones, size, out=self.cells.copy(), where=size > 0) - self.cells)
+        tally[0] += weight
+        tally[1] += size
 
-def fresh() -> tuple[np.ndarray, np.ndarray]:
-    """Weights and map before learning."""
-    centre = np.linspace(-11, 11, MAP_CELLS)
-    return np.full((GATES, INPUTS), 0.3), np.tile(1 / (1 + np.exp(-centre)), (GATES, 1))
 
+# Rows between tasks
 
-# Counting: what batches emit and what shards add up
+def _packed(codes: np.ndarray) -> bytes:
+    """Sorted numbers as gaps, byte plane by byte plane: the upper planes are nearly empty and shrink."""
+    gaps = np.diff(codes, prepend=U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return U(len(codes)).tobytes() + pa.compress(gaps, codec=CODEC, asbytes=True) if len(codes) else b""
 
-def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values, their total counts, and the index of one of each."""
-    if not len(hashes):
-        return hashes, counts, np.zeros(0, np.int64)
-    order = np.argsort(hashes, kind="stable")
-    hashes = hashes[order]
-    heads = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-    return hashes[heads], np.add.reduceat(counts[order], heads), order[heads]
 
+def _unpacked(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, U)
+    n = int(np.frombuffer(data, U, 1)[0])
+    gaps = np.frombuffer(pa.decompress(data[8:], decompressed_size=8 * n, codec=CODEC, asbytes=True), np.uint8)
+    return np.cumsum(np.ascontiguousarray(gaps.reshape(8, -1).T).view(U).ravel(), dtype=U)
 
-def _shard_rows(kind: int, batch: int, hashes: np.ndarray, counts: np.ndarray, words: list[bytes], shards: int) -> list[tuple]:
-    spread = hashes if kind == WORD else mix64(hashes)
-    shard = ((spread >> U(40)) * U(shards) >> U(24)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-    rows = []
-    for s in range(shards):
-        own = order[cuts[s]:cuts[s + 1]]
-        if len(own):
-            held = [words[i] for i in own.tolist()] if kind == WORD else []
-            rows.append((kind, s, batch, hashes[own].tobytes(), counts[own].astype(np.int64).tobytes(), b"".join(held),
-                         np.array([len(w) for w in held], np.uint32).tobytes()))
-    return rows
+
+def _counts_packed(counts: np.ndarray) -> bytes:
+    """Counts as one byte each, those from 255 on listed behind."""
+    return U(len(counts)).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
+
+
+def _counts_unpacked(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, U, 1)[0])
+    counts = np.frombuffer(data, np.uint8, n, 8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data[8 + n:], np.int64)
+    return counts
 
 
-def _batch_rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+def _record(rows: list[tuple], text: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (field.split() for field in text.split(", "))])
     columns = list(zip(*rows)) or [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _schema(text: str) -> pa.Schema:
-    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
-    return pa.schema([(name, kinds[kind]) for name, kind in (field.split() for field in text.split(", "))])
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for many in batches:
+        for i in range(len(many)):
+            yield many.slice(i, 1).to_pylist()[0]
+
+
+# Counting: what batches emit and what shards add up
+
+def _shard_rows(kind: int, batch: int, codes: np.ndarray, counts: np.ndarray, shards: int) -> list[tuple]:
+    spread = codes if kind == WORD else mix64((codes >> U(8)) & U((1 << 8 * LOCAL) - 1))
+    shard = ((spread >> U(40)) * U(shards) >> U(24)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    owned = ((s, order[cuts[s]:cuts[s + 1]]) for s in range(shards))
+    return [(kind, s, batch, _packed(codes[own]), _counts_packed(counts[own])) for s, own in owned if len(own)]
 
 
 def _counter(shards: int) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_batch(batches):
-            found, seen, words, strings = [], [], {}, []
+            # the last bit tells training events from the others
+            marked, hashed = [], []
             for ids, known, offsets, data in map(opened, rows):
-                train = np.array([not held_out(x if k else None) for x, k in zip(ids.tolist(), known.tolist())])
+                train = np.array([not held_out(x if k else None) for x, k in zip(ids.tolist(), known.tolist())], bool)
                 hashes, doc = word_hashes(data, offsets)
-                distinct, counts, one = _summed(hashes, train[doc].astype(np.int64) if len(doc) else np.zeros(0, np.int64))
-                starts, stops = word_places(data, offsets)
-                text = LOWER[data].tobytes()
-                learned = np.flatnonzero(counts)
-                words.update((h, text[a:b]) for h, a, b in zip(distinct[learned].tolist(), starts[one[learned]].tolist(), stops[one[learned]].tolist()))
-                found.append(distinct)
-                seen.append(counts)
-                strings += [_summed(e.code[train[e.doc]], np.ones(int(train[e.doc].sum()), np.int64))[:2] for e in events(data, offsets)]
-            distinct, counts, _ = _summed(np.concatenate(found), np.concatenate(seen))
-            out = _shard_rows(WORD, rows[0]["batch"], distinct, counts, [words.get(h, b"") for h in distinct.tolist()], shards)
-            codes, counts, _ = _summed(*[np.concatenate(x) for x in zip(*strings)])
-            yield _batch_rows(out + _shard_rows(GRAM, rows[0]["batch"], codes, counts, [], shards), _schema(ENTRIES))
+                hashed.append(_counted(hashes, train[doc].astype(np.int64) if len(doc) else np.zeros(0, np.int64)))
+                marked += [code << U(1) | train[doc] for doc, code in events(data, offsets)]
+            every = np.sort(np.concatenate(marked))
+            codes = every >> U(1)
+            heads = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            counts = np.add.reduceat((every & U(1)).astype(np.int64), heads)
+            batch = rows[0]["batch"]
+            words = _counted(*[np.concatenate(x) for x in zip(*hashed)])
+            yield _record(_shard_rows(WORD, batch, *words, shards) + _shard_rows(GRAM, batch, codes[heads], counts, shards), ENTRIES)
 
     return count
 
 
 def _total(table: pa.Table) -> pa.Table:
-    """Add up a shard. One row holds its totals (batch null); for words, every batch gets the totals of its own words back."""
+    """Add up a shard. A row without a batch holds its totals (of words: tokens and types); with it, for words, every batch gets the
+    totals of its own words back, for strings, it keeps which ones a batch asks for."""
     rows = table.to_pylist()
-    kind = rows[0]["kind"]
-    hashes = [np.frombuffer(r["hashes"], U) for r in rows]
-    counts = [np.frombuffer(r["counts"], np.int64) for r in rows]
-    distinct, totals, _ = _summed(np.concatenate(hashes), np.concatenate(counts))
+    kind, shard = rows[0]["kind"], rows[0]["shard"]
+    codes = [_unpacked(r["codes"]) for r in rows]
+    distinct, totals = _counted(np.concatenate(codes), np.concatenate([_counts_unpacked(r["counts"]) for r in rows]))
     if kind == GRAM:
-        out = [(kind, None, distinct.tobytes(), totals.tobytes(), b"", b"")]
+        out = [(kind, shard, None, _packed(distinct), _counts_packed(totals))] + [(kind, shard, r["batch"], r["codes"], b"") for r in rows]
     else:
-        held: list[bytes] = [b""] * len(distinct)
-        out = []
-        for row, own in zip(rows, hashes):
-            at, place = np.searchsorted(distinct, own), 0
-            for i, length in zip(at.tolist(), np.frombuffer(row["lengths"], np.uint32).tolist()):
-                if length:
-                    held[i] = row["words"][place:place + length]
-                    place += length
-            out.append((kind, row["batch"], row["hashes"], totals[at].tobytes(), b"", b""))
-        known = np.flatnonzero(totals > 0)
-        words = [held[i] for i in known.tolist()]
-        out.append((kind, None, distinct[known].tobytes(), totals[known].tobytes(), b"".join(words),
-                    np.array([len(w) for w in words], np.uint32).tobytes()))
-    return pa.Table.from_batches([_batch_rows(out, _schema(TOTALS))])
-
-
-def _word_events(words: bytes, lengths: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Events of distinct words, each followed by a space: code, word so far, count, place in the word."""
-    data = np.frombuffer(words, np.uint8)
-    offsets = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])
-    spaced = np.insert(data, offsets[1:], 0x20)
-    offsets = offsets + np.arange(len(offsets))
-    codes, prefixes, weights, places = [], [], [], []
-    for e in events(spaced, offsets):
-        # the end of each text is not an event of the word
-        inside = (e.code & U(0xFF)) != U(END_BYTE)
-        doc = e.doc[inside]
-        codes.append(e.code[inside])
-        prefixes.append(e.prefix[inside])
-        weights.append(counts[doc])
-        places.append(np.arange(len(doc)) - np.searchsorted(doc, doc))
-    if not codes:
-        return np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(codes), np.concatenate(prefixes), np.concatenate(weights), np.concatenate(places)
-
-
-def _gram_prefix(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word so far of six-byte strings, and whether it starts within them."""
-    recent = np.stack([(code >> U(8 * k)) & U(0xFF) for k in range(1, ORDERS + 1)]).astype(np.uint8)
-    gap = GAP[recent] | (recent == 0)
-    length = np.where(gap.any(axis=0), gap.argmax(axis=0), ORDERS)
-    power, sums = powers(ORDERS), np.zeros(len(code), U)
-    for k in range(ORDERS):
-        # the byte k before the event stands at length - 1 - k of the word
-        place = length - 1 - k
-        sums += np.where(place >= 0, VALUE[recent[k]] * power[np.maximum(place, 0)], U(0))
-    return _prefix_mark(sums, length), length < ORDERS
-
-
-def _examples(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Events of a totals row: code, word so far, count, whether it is an example for the mixer."""
-    counts = np.frombuffer(row["counts"], np.int64)
-    if row["kind"] == GRAM:
-        code = np.frombuffer(row["hashes"], U)
-        prefix, starts = _gram_prefix(code)
-        return code, prefix, counts, starts
-    code, prefix, weights, place = _word_events(row["words"], np.frombuffer(row["lengths"], np.uint32), counts)
-    return code, prefix, weights, place >= ORDERS
-
-
-def _counts_packed(counts: np.ndarray) -> bytes:
-    """Counts as one byte each, those from 255 on listed behind."""
-    return np.uint64(len(counts)).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
-
-
-def _counts_unpacked(data: bytes) -> np.ndarray:
-    n = int(np.frombuffer(data, U, 1)[0])
-    counts = np.frombuffer(data, np.uint8, n, 8).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(data[8 + n:], np.int64)
-    return counts
-
+        out = [(kind, shard, None, b"", np.array([totals.sum(), (totals > 0).sum()], np.int64).tobytes())]
+        out += [(kind, shard, r["batch"], r["codes"], _counts_packed(totals[np.searchsorted(distinct, own)])) for r, own in zip(rows, codes)]
+    return pa.Table.from_batches([_record(out, ENTRIES)])
 
-def _slots_packed(keys: np.ndarray) -> bytes:
-    """Sorted slots as gaps, byte plane by byte plane: the upper planes are nearly empty and shrink in the shuffle."""
-    gaps = np.diff(keys.astype(np.int64), prepend=0).astype(np.uint32)
-    return gaps.view(np.uint8).reshape(-1, 4).T.tobytes()
 
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row in _rows(batches):
+        keys, counts = _key_counts(_unpacked(row["codes"]), _counts_unpacked(row["counts"]), True)
+        yield pa.RecordBatch.from_pydict({"key": keys.astype(np.int64), "n": counts})
 
-def _slots_unpacked(data: bytes) -> np.ndarray:
-    gaps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-    return np.cumsum(gaps, dtype=np.int64).astype(np.uint32)
 
-
-def _slot_counts(context: np.ndarray, code: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct slots with their zeros and ones, over all bits of some events."""
-    byte, node = (code & U(0xFF)).astype(np.int64), np.ones(len(code), np.int64)
-    keys, zeros, ones = [], [], []
-    for position in range(8):
-        bit = (byte >> (7 - position)) & 1
-        for line in context:
-            keys.append(slots(line, node))
-            zeros.append(counts * (1 - bit))
-            ones.append(counts * bit)
-        node = node * 2 + bit
-    return _slot_sums(keys, zeros, ones)
-
-
-def _slot_sums(keys: list, zeros: list, ones: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    every = np.concatenate(keys).astype(np.uint32)
-    order = np.argsort(every, kind="stable")
-    every = every[order]
-    heads = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
-    if not len(heads):
-        return every, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return every[heads], *(np.add.reduceat(np.concatenate(x)[order], heads) for x in (zeros, ones))
-
-
-def _contribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slot counts of totals: six-byte strings feed the byte contexts, words feed the word context."""
-    for many in batches:
-        for i in range(len(many)):
-            row = many.slice(i, 1).to_pylist()[0]
-            code, prefix, counts, _ = _examples(row)
-            parts = []
-            for a in range(0, len(code), EVENTS_AT_ONCE):
-                piece = slice(a, a + EVENTS_AT_ONCE)
-                context = contexts(code[piece], prefix[piece])
-                context = context[:ORDERS] if row["kind"] == GRAM else context[ORDERS:]
-                parts.append(_slot_counts(context, code[piece], counts[piece]))
-            if parts:
-                key, zeros, ones = _slot_sums(*zip(*parts))
-                segment = key >> np.uint32(8 + SEGMENT_BITS)
-                cuts = np.searchsorted(segment, np.arange((1 << TABLE_BITS - SEGMENT_BITS) + 1))
-                yield _batch_rows([(s, _slots_packed(key[a:b]), _counts_packed(zeros[a:b]), _counts_packed(ones[a:b]))
-                                   for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a], _schema(SLOTS))
-
-
-def _fill(table: pa.Table) -> pa.Table:
-    """A segment of the predictor table: of the contexts that share a slot, the most frequent one keeps it."""
-    rows = table.to_pylist()
-    key, zeros, ones = _slot_sums([_slots_unpacked(r["slots"]) for r in rows], *[[_counts_unpacked(r[n]) for r in rows] for n in ("zeros", "ones")])
-    slot = (key >> 8) & ((1 << SEGMENT_BITS) - 1)
-    order = np.lexsort((key, -(zeros + ones), slot))
-    best = order[np.concatenate([[True], slot[order][1:] != slot[order][:-1]])]
-    size = 1 << SEGMENT_BITS
-    checks, zero, one = np.zeros(size, np.uint8), np.zeros(size, np.uint16), np.zeros(size, np.uint16)
-    shrink = np.maximum(np.maximum(zeros, ones)[best] / 65535, 1)
-    checks[slot[best]] = key[best] & 0xFF
-    zero[slot[best]], one[slot[best]] = zeros[best] / shrink, ones[best] / shrink
-    return pa.Table.from_batches([_batch_rows([(rows[0]["segment"], checks.tobytes(), zero.tobytes(), one.tobytes())], _schema(SEGMENTS))])
+def _predictors(codes: np.ndarray, counts: np.ndarray, short: tuple[np.ndarray, np.ndarray]) -> Predictors:
+    keys, n = _key_counts(codes, counts, False)
+    return Predictors.of(np.concatenate([short[0], keys]), np.concatenate([short[1], n]))
 
 
 def _learner(shared) -> Callable:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for many in batches:
-            for i in range(len(many)):
-                code, prefix, counts, chosen = _examples(many.slice(i, 1).to_pylist()[0])
-                order = np.random.default_rng(5).permutation(np.flatnonzero(chosen))
-                checks, zeros, ones = shared.value
-                model, tally = Model(checks, zeros, ones, *fresh()), [np.zeros(GATES), np.zeros((GATES, MAP_CELLS))]
-                for a in range(0, len(order), STEPS):
-                    step = order[a:a + STEPS]
-                    model.bits(code[step], prefix[step], counts[step].astype(np.float64), tally)
-                yield _batch_rows([(model.weights.tobytes(), model.cells.tobytes(), tally[0].tobytes(), tally[1].tobytes())],
-                                  _schema(LEARNED))
+        for row in _rows(batches):
+            codes, counts = _unpacked(row["codes"]), _counts_unpacked(row["counts"])
+            predictors = _predictors(codes, counts, shared.value)
+            mixer, tally = Mixer.fresh(), [np.zeros(GATES), np.zeros((GATES, MAP_CELLS))]
+            order = np.random.default_rng(5).permutation(np.flatnonzero(counts))
+            for a in range(0, len(order), STEPS):
+                step = order[a:a + STEPS]
+                mixer.bits(predictors, codes[step], counts[step].astype(np.float64), tally)
+            seen = np.concatenate([np.repeat(tally[0], INPUTS), tally[1].ravel()])
+            values = np.concatenate([mixer.weights.ravel(), mixer.cells.ravel()])
+            yield pa.RecordBatch.from_pydict({"cell": np.arange(len(seen), dtype=np.int32), "weighted": values * seen, "seen": seen})
 
     return learn
 
 
-class Cache:
-    """log2 probabilities by event, in a direct-mapped table; what is not there is computed and put in."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.keys, self.values = np.zeros(1 << CACHE_BITS, U), np.zeros(1 << CACHE_BITS)
-
-    def bits(self, e: Events) -> np.ndarray:
-        key = mix64(e.code * U(3) + e.prefix) | U(1)
-        slot = (key >> U(64 - CACHE_BITS)).astype(np.int64)
-        out, missing = self.values[slot], np.flatnonzero(self.keys[slot] != key)
-        if len(missing):
-            distinct, first, back = np.unique(key[missing], return_index=True, return_inverse=True)
-            new = np.concatenate([self.model.bits(e.code[m], e.prefix[m]) for m in np.array_split(missing[first], len(first) // (1 << 16) + 1)])
-            out[missing] = new[back]
-            at = slot[missing[first]]
-            self.keys[at], self.values[at] = distinct, new
-        return out
-
-
-def _scorer(shared, n_tokens: int, n_types: int, n_ends: int) -> Callable:
-    def score(texts: pa.Table, found: pa.Table) -> pa.Table:
-        back = [r for r in found.to_pylist()]
-        hashes = np.concatenate([np.zeros(0, U), *[np.frombuffer(r["hashes"], U) for r in back]])
-        totals = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["counts"], np.int64) for r in back]])
-        order = np.argsort(hashes)
-        hashes, totals = hashes[order], totals[order]
-        cache, rows = Cache(Model(*shared.value)), []
-        space = n_tokens + SMOOTH * (n_types + 1)
+def averaged(learned: DataFrame) -> Mixer:
+    """Weights and map of all shards, each by the events it saw; sums are exact, so that their order does not matter."""
+    exact = lambda name: F.sum(F.col(name).cast("decimal(28,8)")).cast("double").alias(name)
+    mixer = Mixer.fresh()
+    values = np.concatenate([mixer.weights.ravel(), mixer.cells.ravel()])
+    for row in learned.groupBy("cell").agg(exact("weighted"), exact("seen")).collect():
+        if row["seen"] > 0:
+            values[row["cell"]] = row["weighted"] / row["seen"]
+    return Mixer(values[:GATES * INPUTS].reshape(GATES, INPUTS), values[GATES * INPUTS:].reshape(GATES, MAP_CELLS))
+
+
+# Scores
+
+def _evaluator(shared) -> Callable:
+    def evaluate(table: pa.Table) -> pa.Table:
+        """log2 probabilities of the strings of a shard, for each batch that holds them."""
+        short, mixer = shared.value
+        rows = table.to_pylist()
+        total = next(r for r in rows if r["batch"] is None)
+        codes, counts = _unpacked(total["codes"]), _counts_unpacked(total["counts"])
+        predictors = _predictors(codes, counts, short)
+        pieces = [codes[a:a + EVENTS_AT_ONCE] for a in range(0, len(codes), EVENTS_AT_ONCE)]
+        bits = np.concatenate([mixer.bits(predictors, piece) for piece in pieces]).astype(np.float32)
+        out = [(GRAM, r["batch"], r["codes"], bits[np.searchsorted(codes, _unpacked(r["codes"]))].tobytes()) for r in rows if r is not total]
+        return pa.Table.from_batches([_record(out, BACK)])
+
+    return evaluate
+
+
+def _looked_up(rows: list[dict], kind: int, read: Callable, dtype) -> tuple[np.ndarray, np.ndarray]:
+    own = [r for r in rows if r["kind"] == kind]
+    codes = np.concatenate([np.zeros(0, U), *[_unpacked(r["codes"]) for r in own]])
+    values = np.concatenate([np.zeros(0, dtype), *[read(r["results"]) for r in own]])
+    order = np.argsort(codes)
+    return codes[order], values[order]
+
+
+def _scorer(n_tokens: int, n_types: int, n_ends: int) -> Callable:
+    def score(texts: pa.Table, back: pa.Table) -> pa.Table:
+        found = back.to_pylist()
+        hashes, totals = _looked_up(found, WORD, _counts_unpacked, np.int64)
+        codes, logs = _looked_up(found, GRAM, lambda x: np.frombuffer(x, np.float32), np.float32)
+        space, rows = n_tokens + SMOOTH * (n_types + 1), []
         for row in texts.to_pylist():
             ids, known, offsets, data = opened(row)
             own, doc = word_hashes(data, offsets)
             c = totals[np.searchsorted(hashes, own)] if len(own) else np.zeros(0, np.int64)
-            logs = np.bincount(doc, np.log10((c + SMOOTH) / space), len(ids)) + np.log10((n_ends + SMOOTH) / space)
+            base = np.bincount(doc, np.log10((c + SMOOTH) / space), len(ids)) + np.log10((n_ends + SMOOTH) / space)
             n, n_known = np.bincount(doc, minlength=len(ids)) + 1, np.bincount(doc, c > 0, len(ids)).astype(np.int64) + (n_ends > 0)
             bits = np.zeros(len(ids))
-            for e in events(data, offsets):
-                bits += np.bincount(e.doc, cache.bits(e), len(ids))
+            for doc, code in events(data, offsets):
+                bits += np.bincount(doc, logs[np.searchsorted(codes, code)], len(ids))
             for i in range(len(ids)):
                 doc_id = int(ids[i]) if known[i] else None
-                rows.append((doc_id, held_out(doc_id), int(n[i]), int(n_known[i]), n_tokens, float(logs[i]), float(bits[i] * np.log10(2)),
+                rows.append((doc_id, held_out(doc_id), int(n[i]), int(n_known[i]), n_tokens, float(base[i]), float(bits[i] * np.log10(2)),
                              int(offsets[i + 1] - offsets[i])))
-        return pa.Table.from_batches([_batch_rows(rows, _schema(RESULT))])
+        return pa.Table.from_batches([_record(rows, RESULT)])
 
     return score
 
 
-def predictor_table(totals: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The table of fixed size, collected by segments."""
-    segments = totals.mapInArrow(_contribute, SLOTS).groupBy("segment").applyInArrow(_fill, SEGMENTS)
-    size = 1 << TABLE_BITS
-    table = np.zeros(size, np.uint8), np.zeros(size, np.uint16), np.zeros(size, np.uint16)
-    for row in stage(segments, "lm-segments").toLocalIterator():
-        at = slice(row["segment"] << SEGMENT_BITS, (row["segment"] + 1) << SEGMENT_BITS)
-        for part, name in zip(table, ("checks", "zeros", "ones")):
-            part[at] = np.frombuffer(row[name], part.dtype)
-    return table
-
-
-def averaged(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and map of all shards, each by the events it saw."""
-    weights, cells = fresh()
-    seen, cell_seen = (np.stack([np.frombuffer(r[n]) for r in rows]) for n in ("seen", "cell_seen"))
-    shape = (len(rows), GATES, MAP_CELLS)
-    w = np.stack([np.frombuffer(r["weights"]).reshape(GATES, INPUTS) for r in rows])
-    m = np.stack([np.frombuffer(r["cells"]).reshape(GATES, MAP_CELLS) for r in rows])
-    cell_seen = cell_seen.reshape(shape)
-    some, some_cells = seen.sum(axis=0) > 0, cell_seen.sum(axis=0) > 0
-    weights[some] = (w * seen[:, :, None]).sum(axis=0)[some] / seen.sum(axis=0)[some, None]
-    cells[some_cells] = (m * cell_seen).sum(axis=0)[some_cells] / cell_seen.sum(axis=0)[some_cells]
-    return weights, cells
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row in _rows(batches):
+        n, types = np.frombuffer(row["counts"], np.int64).tolist()
+        yield pa.RecordBatch.from_pydict({"n": [n], "types": [types]})
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -503,34 +402,20 @@ def scores(docs: DataFrame) -> DataFrame:
     train = F.coalesce(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(0)) % HELD_OUT != 0
     n_ends = docs.filter(train).count()
     shards = int((batches.agg(F.sum("size")).first()[0] or 0) // SHARD_BYTES) + 1
-    added = batches.mapInArrow(_counter(shards), ENTRIES).groupBy("kind", "shard").applyInArrow(_total, TOTALS)
-    found = stage(added, "lm-counts")
-    totals = found.filter("batch is null").repartition(2 * shards)
-    n_words, n_types = _token_counts(found)
-    shared = spark.sparkContext.broadcast(predictor_table(totals))
-    learned = averaged(stage(totals.mapInArrow(_learner(shared), LEARNED), "lm-weights").collect() or [_unlearned()])
-    model = spark.sparkContext.broadcast((*shared.value, *learned))
-    words = found.filter("batch is not null").select("batch", "hashes", "counts")
-    run = _scorer(model, n_words + n_ends, n_types + (n_ends > 0), n_ends)
-    return batches.groupBy("batch").cogroup(words.groupBy("batch")).applyInArrow(run, RESULT)
-
-
-def _unlearned() -> dict:
-    weights, cells = fresh()
-    return {"weights": weights.tobytes(), "cells": cells.tobytes(), "seen": np.zeros(GATES).tobytes(),
-            "cell_seen": np.zeros((GATES, MAP_CELLS)).tobytes()}
-
-
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts = [np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_pydict({"n": [int(c.sum()) for c in counts], "types": [len(c) for c in counts]})
-
-
-def _token_counts(found: DataFrame) -> tuple[int, int]:
-    rows = found.filter(f"batch is null and kind = {WORD}").select("counts").mapInArrow(_sizes, "n bigint, types bigint")
-    n, types = rows.agg(F.sum("n"), F.sum("types")).first()
-    return n or 0, types or 0
+    added = stage(batches.mapInArrow(_counter(shards), ENTRIES).groupBy("kind", "shard").applyInArrow(_total, ENTRIES), "lm-counts")
+    totals = added.filter("batch is null")
+    tokens = totals.filter(f"kind = {WORD}").mapInArrow(_sizes, "n bigint, types bigint").agg(F.sum("n"), F.sum("types")).first()
+    n_words, n_types = (x or 0 for x in tokens)
+    strings = totals.filter(f"kind = {GRAM}").repartition(shards)
+    # one row per string of at most three bytes and kind: a table whose size the alphabet bounds
+    table = strings.mapInArrow(_short, SHORT).groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    short = table["key"].to_numpy().astype(U), table["n"].to_numpy()
+    mixer = averaged(stage(strings.mapInArrow(_learner(spark.sparkContext.broadcast(short)), LEARNED), "lm-weights"))
+    shared = spark.sparkContext.broadcast((short, mixer))
+    logs = added.filter(f"kind = {GRAM}").groupBy("shard").applyInArrow(_evaluator(shared), BACK)
+    words = added.filter(f"kind = {WORD} and batch is not null").select("kind", "batch", "codes", F.col("counts").alias("results"))
+    run = _scorer(n_words + n_ends, n_types + (n_ends > 0), n_ends)
+    return batches.groupBy("batch").cogroup(logs.union(words).groupBy("batch")).applyInArrow(run, RESULT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from shelfwise.llm import language_model
-from shelfwise.llm.language_model import Model, contexts, events, fresh, slots
+from shelfwise.llm.language_model import GATES, MAP_CELLS, Mixer, Predictors, context_keys, events
 
 
 def corpus(seed: int, number: int):
@@ -32,61 +32,71 @@ def test_base_score_and_held_out_bits(docs_of):
     assert all(again[5000 + i] < again[i] for i in unseen)
 
 
+def codes_of(*texts):
+    data = [t.encode() for t in texts]
+    out = list(events(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)))
+    return [np.concatenate(x) for x in zip(*out)]
+
+
+def test_scores_against_a_plain_model(docs_of):
+    rows = corpus(3, 60) + [(100, None), (101, ""), (102, "The\tEND  \n"), (103, "naïve café"), (104, "unheard 1234567 symbols")]
+    rows += [(105, rows[4][1]), (105, "same id"), (106, "ha" * 200)]
+    want = brute.mixed(rows)
+    got = sorted((r["doc_id"], r["score"]) for r in language_model.scores(docs_of(rows)).collect())
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-5)
+
+
+def test_shards_lose_no_count(docs_of, monkeypatch):
+    """The same corpus in many shards and batches: training counts are the same; only the learned weights differ."""
+    monkeypatch.setattr(language_model, "STEPS", 10**9)
+    monkeypatch.setattr(language_model, "RATE", 0.0)
+    monkeypatch.setattr(language_model, "MAP_RATE", 0.0)
+    rows = corpus(5, 200)
+    one = {r["doc_id"]: r["score"] for r in language_model.scores(docs_of(rows)).collect()}
+    monkeypatch.setattr(language_model, "SHARD_BYTES", 4000)
+    many = {r["doc_id"]: r["score"] for r in language_model.scores(docs_of(rows).repartition(5)).collect()}
+    assert many == pytest.approx(one, rel=1e-6)
+
+
+def test_a_text_longer_than_a_piece(docs_of, monkeypatch):
+    text = corpus(7, 1)[0][1] * 20
+    whole = codes_of(text, "x")
+    monkeypatch.setattr(language_model, "CHUNK", 1000)
+    assert all((a == b).all() for a, b in zip(whole, codes_of(text, "x")))
+
+
 def test_probabilities_of_the_next_byte_add_up():
     rng = np.random.default_rng(1)
-    size = 1 << language_model.TABLE_BITS
-    weights, cells = fresh()
-    zeros, ones = (rng.integers(0, 30, size).astype(np.uint16) for _ in range(2))
-    model = Model(rng.integers(0, 2, size).astype(np.uint8), zeros, ones, weights, cells)
-    history = np.uint64(0x6162636465 << 8)
-    bits = model.bits(history | np.arange(256, dtype=np.uint64), np.full(256, 77, np.uint64))
+    code = np.unique(rng.integers(0, 4, (3000, 6)).astype(np.uint64) @ (np.uint64(256) ** np.arange(6, dtype=np.uint64)))
+    history = np.uint64(0x010203010200)
+    every = np.unique(np.concatenate([code, history | np.arange(256, dtype=np.uint64)]))
+    keys, counts = language_model._counted(context_keys(every).ravel(), np.tile(np.isin(every, code) * 3, language_model.INPUTS))
+    bits = Mixer.fresh().bits(Predictors.of(keys, counts), history | np.arange(256, dtype=np.uint64))
     assert (2.0**bits).sum() == pytest.approx(1, abs=1e-6)
 
 
 def test_events_do_not_look_ahead_or_depend_on_neighbours():
-    def of(*texts):
-        data = [t.encode() for t in texts]
-        out = list(events(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)))
-        return [np.concatenate(x) for x in zip(*[(e.doc, e.code, e.prefix) for e in out])]
-
-    doc, code, prefix = of("abc def", "", "Abc deX")
+    doc, code = codes_of("abc def", "", "Abc deX")
     one, two = (np.flatnonzero(doc == d) for d in (0, 2))
     assert len(one) == 8 and (doc == 1).sum() == 1
-    assert code[one[:6]].tolist() == code[two[:6]].tolist() and prefix[one[:7]].tolist() == prefix[two[:7]].tolist()
-    assert prefix[one[0]] == prefix[one[4]]
+    assert code[one[:6]].tolist() == code[two[:6]].tolist()
     assert [int(c & np.uint64(255)) for c in code[one]] == [*b"abc def", 0xFF]
-
-
-def test_word_so_far_is_the_same_from_text_and_from_strings():
-    text = "the cat sat on a mat\nwith others"
-    data = np.frombuffer(text.encode(), np.uint8)
-    e = next(events(data, np.array([0, len(data)])))
-    prefix, starts = language_model._gram_prefix(e.code)
-    assert starts.any() and (prefix[starts] == e.prefix[starts]).all()
+    # the word so far: 'a' after the start and 'd' after a gap have contexts of their own kind
+    word = context_keys(code[one])[-1]
+    assert [int(k >> np.uint64(56)) - language_model.INPUTS for k in word] == [0, 1, 2, 3, 0, 1, 2, 3]
 
 
 def test_learning_improves_the_mix():
     rng = np.random.default_rng(4)
-    code = rng.choice(np.array([0x616161616162, 0x616161616263, 0x626262626161], np.uint64), 4000)
-    prefix = np.full(4000, 9, np.uint64)
-    size = 1 << language_model.TABLE_BITS
-    table = [np.zeros(size, np.uint8), np.zeros(size, np.uint16), np.zeros(size, np.uint16)]
-    node, context = np.ones(4000, np.int64), contexts(code, prefix)
-    for position in range(8):
-        bit = ((code & np.uint64(255)).astype(np.int64) >> (7 - position)) & 1
-        for line in context:
-            found = slots(line, node)
-            at = (found >> np.uint64(8)).astype(np.int64)
-            table[0][at] = (found & np.uint64(255)).astype(np.uint8)
-            np.add.at(table[1], at, (1 - bit).astype(np.uint16))
-            np.add.at(table[2], at, bit.astype(np.uint16))
-        node = node * 2 + bit
-    model = Model(*table, *fresh())
-    before = model.bits(code, prefix).sum()
-    tally = [np.zeros(language_model.GATES), np.zeros((language_model.GATES, language_model.MAP_CELLS))]
+    code = np.sort(rng.choice(np.array([0x616161616162, 0x616161616263, 0x626262626161], np.uint64), 4000))
+    keys, counts = language_model._counted(context_keys(code).ravel(), np.ones(len(code) * language_model.INPUTS, np.int64))
+    predictors, mixer = Predictors.of(keys, counts), Mixer.fresh()
+    before = mixer.bits(predictors, code).sum()
+    tally = [np.zeros(GATES), np.zeros((GATES, MAP_CELLS))]
     for a in range(0, 4000, 500):
-        model.bits(code[a:a + 500], prefix[a:a + 500], np.ones(500), tally)
-    assert model.bits(code, prefix).sum() > before
+        mixer.bits(predictors, code[a:a + 500], np.ones(500), tally)
+    assert mixer.bits(predictors, code).sum() > before
 
 
 def test_few_or_no_documents(docs_of, empty):
@@ -95,10 +105,11 @@ def test_few_or_no_documents(docs_of, empty):
     assert all(r["held_out"] and r["train_tokens"] == 0 and np.isfinite(r["base_score"]) and r["score"] < 0 for r in rows)
 
 
-def test_packed_slots_and_counts():
+def test_packed_codes_and_counts():
     rng = np.random.default_rng(6)
-    keys = np.unique(rng.integers(0, 2**31, 500).astype(np.uint32))
-    counts = rng.choice([0, 1, 254, 255, 256, 10**12], len(keys))
-    assert (language_model._slots_unpacked(language_model._slots_packed(keys)) == keys).all()
+    codes = np.unique(np.concatenate([rng.integers(0, 2**48, 500).astype(np.uint64), [np.uint64(0), np.uint64(2**64 - 1)]]))
+    counts = rng.choice([0, 1, 254, 255, 256, 10**12], len(codes))
+    assert (language_model._unpacked(language_model._packed(codes)) == codes).all()
     assert (language_model._counts_unpacked(language_model._counts_packed(counts)) == counts).all()
+    assert not len(language_model._unpacked(language_model._packed(codes[:0])))
     assert not len(language_model._counts_unpacked(language_model._counts_packed(counts[:0])))
