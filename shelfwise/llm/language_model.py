@@ -83,8 +83,19 @@ def _parts(offsets: np.ndarray) -> Iterator[list[tuple[int, int, int, bool]]]:
         yield held
 
 
+def _turned(code: np.ndarray) -> np.ndarray:
+    """The code of a six-byte string: the three bytes before the last one, the two before these, the last. Strings of a shard share
+    their upper bytes then and pack small."""
+    return ((code >> U(8) & U(0xFFFFFF)) << U(24)) | (code >> U(32) << U(8)) | (code & U(0xFF))
+
+
+def _straight(code: np.ndarray) -> np.ndarray:
+    """The six bytes of a code in the order of the text."""
+    return ((code >> U(8) & U(0xFFFF)) << U(32)) | (code >> U(24) << U(8)) | (code & U(0xFF))
+
+
 def events(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(document, code) of all byte events of all texts, the end of a text included; a code is the six bytes up to and with the event."""
+    """(document, code) of all byte events of all texts, the end of a text included."""
     start, end = np.zeros(ORDERS, np.uint8), np.array([END_BYTE], np.uint8)
     for parts in _parts(offsets):
         pieces, skip, take = [], [], []
@@ -100,11 +111,12 @@ def events(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         code = np.zeros(len(chunk), U)
         for back in range(ORDERS, -1, -1):
             code[back:] |= chunk[:len(chunk) - back].astype(U) << U(8 * back)
-        yield np.repeat(np.array([p[0] for p in parts]), take), code[at]
+        yield np.repeat(np.array([p[0] for p in parts]), take), _turned(code[at])
 
 
 def context_keys(code: np.ndarray) -> np.ndarray:
     """Context and next byte of each predictor as one number, a row a predictor: its kind, the context bytes, the byte."""
+    code = _straight(code)
     rows = [(code & U((1 << 8 * (k + 1)) - 1)) | U(k << 56) for k in range(1, ORDERS + 1)]
     length, open_ = np.zeros(len(code), U), np.ones(len(code), bool)
     for k in range(1, ORDERS + 1):
@@ -240,6 +252,16 @@ def _counts_unpacked(data: bytes) -> np.ndarray:
     return counts
 
 
+def _logs_packed(logs: np.ndarray) -> bytes:
+    """Single-precision numbers, byte plane by byte plane: signs and exponents repeat."""
+    return pa.compress(np.ascontiguousarray(logs.view(np.uint8).reshape(-1, 4).T).tobytes(), codec=CODEC, asbytes=True)
+
+
+def _logs_unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec=CODEC, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.float32).ravel()
+
+
 def _record(rows: list[tuple], text: str) -> pa.RecordBatch:
     kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
     schema = pa.schema([(name, kinds[kind]) for name, kind in (field.split() for field in text.split(", "))])
@@ -256,7 +278,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 # Counting: what batches emit and what shards add up
 
 def _shard_rows(kind: int, batch: int, codes: np.ndarray, counts: np.ndarray, shards: int) -> list[tuple]:
-    spread = codes if kind == WORD else mix64((codes >> U(8)) & U((1 << 8 * LOCAL) - 1))
+    spread = codes if kind == WORD else mix64(codes >> U(8 * LOCAL))
     shard = ((spread >> U(40)) * U(shards) >> U(24)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
     cuts = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -274,7 +296,9 @@ def _counter(shards: int) -> Callable:
                 hashes, doc = word_hashes(data, offsets)
                 hashed.append(_counted(hashes, train[doc].astype(np.int64) if len(doc) else np.zeros(0, np.int64)))
                 marked += [code << U(1) | train[doc] for doc, code in events(data, offsets)]
-            every = np.sort(np.concatenate(marked))
+            every = np.concatenate(marked)
+            marked.clear()
+            every.sort()
             codes = every >> U(1)
             heads = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
             counts = np.add.reduceat((every & U(1)).astype(np.int64), heads)
@@ -351,7 +375,7 @@ def _evaluator(shared) -> Callable:
         predictors = _predictors(codes, counts, short)
         pieces = [codes[a:a + EVENTS_AT_ONCE] for a in range(0, len(codes), EVENTS_AT_ONCE)]
         bits = np.concatenate([mixer.bits(predictors, piece) for piece in pieces]).astype(np.float32)
-        out = [(GRAM, r["batch"], r["codes"], bits[np.searchsorted(codes, _unpacked(r["codes"]))].tobytes()) for r in rows if r is not total]
+        out = [(GRAM, r["batch"], r["codes"], _logs_packed(bits[np.searchsorted(codes, _unpacked(r["codes"]))])) for r in rows if r is not total]
         return pa.Table.from_batches([_record(out, BACK)])
 
     return evaluate
@@ -359,8 +383,9 @@ def _evaluator(shared) -> Callable:
 
 def _looked_up(rows: list[dict], kind: int, read: Callable, dtype) -> tuple[np.ndarray, np.ndarray]:
     own = [r for r in rows if r["kind"] == kind]
-    codes = np.concatenate([np.zeros(0, U), *[_unpacked(r["codes"]) for r in own]])
-    values = np.concatenate([np.zeros(0, dtype), *[read(r["results"]) for r in own]])
+    held = [_unpacked(r["codes"]) for r in own]
+    codes = np.concatenate([np.zeros(0, U), *held])
+    values = np.concatenate([np.zeros(0, dtype), *[read(r["results"], len(c)) for r, c in zip(own, held)]])
     order = np.argsort(codes)
     return codes[order], values[order]
 
@@ -368,8 +393,8 @@ def _looked_up(rows: list[dict], kind: int, read: Callable, dtype) -> tuple[np.n
 def _scorer(n_tokens: int, n_types: int, n_ends: int) -> Callable:
     def score(texts: pa.Table, back: pa.Table) -> pa.Table:
         found = back.to_pylist()
-        hashes, totals = _looked_up(found, WORD, _counts_unpacked, np.int64)
-        codes, logs = _looked_up(found, GRAM, lambda x: np.frombuffer(x, np.float32), np.float32)
+        hashes, totals = _looked_up(found, WORD, lambda data, n: _counts_unpacked(data), np.int64)
+        codes, logs = _looked_up(found, GRAM, _logs_unpacked, np.float32)
         space, rows = n_tokens + SMOOTH * (n_types + 1), []
         for row in texts.to_pylist():
             ids, known, offsets, data = opened(row)

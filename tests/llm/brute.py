@@ -112,7 +112,7 @@ def mixed(rows) -> list[tuple[int, float]]:
         z = min(max(sum(a * b for a, b in zip(x, weights[gate])), -11), 11)
         return gate, x, 1 / (1 + exp(-z)), round((z + 11) * (cells - 1) / 22), bit
 
-    known = sorted(train)
+    known = sorted(train, key=lambda e: (e[2:5], e[:2], e[5]))
     order = [known[i] for i in np.random.default_rng(5).permutation(len(known))] if known else []
     for a in range(0, len(order), 1024):
         for p in range(8):

@@ -80,6 +80,7 @@ def test_events_do_not_look_ahead_or_depend_on_neighbours():
     doc, code = codes_of("abc def", "", "Abc deX")
     one, two = (np.flatnonzero(doc == d) for d in (0, 2))
     assert len(one) == 8 and (doc == 1).sum() == 1
+    assert (language_model._straight(code) & np.uint64(0xFFFF)).tolist()[1] == int.from_bytes(b"ab", "big")
     assert code[one[:6]].tolist() == code[two[:6]].tolist()
     assert [int(c & np.uint64(255)) for c in code[one]] == [*b"abc def", 0xFF]
     # the word so far: 'a' after the start and 'd' after a gap have contexts of their own kind
@@ -111,5 +112,7 @@ def test_packed_codes_and_counts():
     counts = rng.choice([0, 1, 254, 255, 256, 10**12], len(codes))
     assert (language_model._unpacked(language_model._packed(codes)) == codes).all()
     assert (language_model._counts_unpacked(language_model._counts_packed(counts)) == counts).all()
+    logs = rng.normal(size=len(codes)).astype(np.float32)
+    assert (language_model._logs_unpacked(language_model._logs_packed(logs), len(logs)) == logs).all()
     assert not len(language_model._unpacked(language_model._packed(codes[:0])))
     assert not len(language_model._counts_unpacked(language_model._counts_packed(counts[:0])))
