@@ -216,9 +216,13 @@ def _sql() -> str:
     # the end of a sentence is marked by a character that no text has, as this engine's patterns cannot look behind
     by_line = r"regexp_replace(t, '([.!?;:])[\x20\x09]+', '\1' || chr(10), 'g')"
     joined = r"regexp_replace(regexp_replace(t, '\n[\x20\x09]*\n\s*', chr(1), 'g'), '([.!?;:])\s+', '\1' || chr(1), 'g')"
+    usual = (f"CASE WHEN map_contains({names}, s) THEN s WHEN contains(s, 'under ') THEN "
+             f"replace(regexp_replace(s, '{LEAD_IN}', 'licensed under the '), 'licence', 'license') "
+             f"WHEN starts_with(s, 'neither the name of ') THEN regexp_replace(s, '{ENDORSER}', "
+             f"'neither the name of the copyright holder nor the names of its contributors ') ELSE s END")
     known = lambda text, end: (
-        f"array_to_string(list_transform(list_filter(list_transform(string_split({text}, chr({end})), lambda s: "
-        f"trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s: map_contains({names}, s)), "
+        f"array_to_string(list_transform(list_filter(list_transform(list_transform(string_split({text}, chr({end})), lambda s: "
+        f"trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s: {usual}), lambda s: map_contains({names}, s)), "
         f"lambda s: ',' || {names}[s] || ','), '')")
     steps, last = [], {"by_line": "by_line", "joined": "joined"}
     for i, (name, ids) in enumerate(RULES):

@@ -1,4 +1,7 @@
 """Licences beyond the notices of the test tables, from their texts as they are usually written."""
+import duckdb
+import pandas as pd
+
 from shelfwise.llm import licences
 
 BSD = """Redistribution and use in source and binary forms, with or without
@@ -51,3 +54,11 @@ TEXTS = [
 def test_texts_and_mentions(docs_of):
     got = {r["doc_id"]: ",".join(r["licences"]) for r in licences.licences(docs_of(enumerate(t for t, _ in TEXTS))).collect()}
     assert [(i, got[i]) for i, _ in enumerate(TEXTS)] == [(i, want) for i, (_, want) in enumerate(TEXTS)]
+
+
+def test_sql_reads_the_same_texts():
+    documents = pd.DataFrame({"doc_id": range(len(TEXTS)), "text": [t for t, _ in TEXTS]})
+    with duckdb.connect() as connection:
+        connection.register("documents", documents)
+        got = {i: found for i, _, found in connection.execute(licences.SQL).fetchall()}
+    assert [got[i] for i in range(len(TEXTS))] == [want for _, want in TEXTS]
