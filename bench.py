@@ -58,7 +58,7 @@ def main() -> None:
     tables = files.load_clean(spark, clean)
 
     def compute(name: str) -> None:
-        bed = catalog.Bed(spark, sf_dir, tables)
+        bed = catalog.Bed(spark, sf_dir, tables, clean)
         catalog.QUERIES[name](bed).write.format("noop").mode("overwrite").save()
 
     for name in wanted:

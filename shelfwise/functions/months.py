@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 MONTH = "order_month"
 DAY = "order_date"
+#: Last order day of a row that sums several order lines; the first one is its DAY.
+LAST_DAY = "last_order_date"
 
 
 def month_of(day: Column) -> Column:

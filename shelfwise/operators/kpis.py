@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import half_up, positive, ratio
-from shelfwise.functions.months import recent, within
+from shelfwise.functions.months import LAST_DAY, recent, within
 from shelfwise.functions.ordering import rows_at, select_places
 from shelfwise.functions.staging import stage
 from shelfwise.schemas import PAIR
@@ -51,9 +51,11 @@ def monthly_sales(sales: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------------------------------------ turnover
 def sold_per_pair(sales: DataFrame) -> DataFrame:
+    """Units, revenue and days from the first to the last order of every pair, over order lines or their sums by month."""
+    last = LAST_DAY if LAST_DAY in sales.columns else "order_date"
     return sales.groupBy(*PAIR).agg(
         F.sum("quantity").alias("units_sold"), F.sum("revenue").alias("revenue"),
-        (F.datediff(F.max("order_date"), F.min("order_date")) + 1).alias("days_selling"))
+        (F.datediff(F.max(last), F.min("order_date")) + 1).alias("days_selling"))
 
 
 def opening_stock(restocks: DataFrame) -> DataFrame:

@@ -28,8 +28,8 @@ SQL: dict[str, str] = {}
 class Bed:
     """Lazy handles on the test tables of one folder, or on a loaded table set."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, tables: Tables | None = None):
-        self.spark, self.sf_dir, self.loaded = spark, sf_dir, tables
+    def __init__(self, spark: SparkSession, sf_dir: str, tables: Tables | None = None, clean: str | None = None):
+        self.spark, self.sf_dir, self.loaded, self.clean = spark, sf_dir, tables, clean
 
     @cached_property
     def t(self) -> Tables:
@@ -39,6 +39,15 @@ class Bed:
     def raw(self) -> Tables:
         return testbed.raw_tables(self.spark, self.sf_dir)
 
+    def added(self, grain: str) -> DataFrame:
+        """What queries that only add up read: the sums a refresh keeps where there is a clean folder, else the order lines."""
+        return files.load_sums(self.spark, self.clean, grain) if self.clean else self.t.sales
+
+    def refreshed(self) -> "Bed":
+        """The same tables out of clean files, with their sums by month."""
+        folder = self.written()
+        return Bed(self.spark, self.sf_dir, files.load_clean(self.spark, folder), folder)
+
     @property
     def sw(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         return self.t.sales, self.t.products, self.t.warehouses
@@ -543,12 +552,12 @@ HEADLINE = f"""SELECT (SELECT {D('SUM(revenue)')} FROM sales) AS total_sales, (S
 
 @query("k1_n1_headline", q(HEADLINE))
 def _(b: Bed) -> DataFrame:
-    return kpis.headline(b.t.sales, b.t.inventory)
+    return kpis.headline(b.added("places"), b.t.inventory)
 
 
 @query("k2_n3_monthly_sales", q(o.MOM, o.MONTHLY.format("sales")))
 def _(b: Bed) -> DataFrame:
-    return kpis.monthly_sales(b.t.sales)
+    return kpis.monthly_sales(b.added("places"))
 
 
 @query("k3_stock_turnover", q(f"SELECT warehouse_id, {o.TURN_OUT} FROM turn", *o.TURN))
@@ -584,7 +593,7 @@ def _(b: Bed) -> DataFrame:
 @query("k6_category_summary", q(f"""SELECT category, {D('revenue')} AS revenue, {D('gross_profit')} AS gross_profit, {pct('gross_profit', 'revenue')} AS margin_pct,
     {pct('revenue', '(SELECT SUM(revenue) FROM bycat)')} AS revenue_share_pct FROM bycat""", o.CATEGORY))
 def _(b: Bed) -> DataFrame:
-    return kpis.category_summary(b.t.sales, b.t.products)
+    return kpis.category_summary(b.added("products"), b.t.products)
 
 
 WSUM_OUT = f"""warehouse_id, warehouse_name, region, {D('revenue')} AS revenue, {B('units')} AS units"""
@@ -593,7 +602,7 @@ WSUM_OUT = f"""warehouse_id, warehouse_name, region, {D('revenue')} AS revenue,
 @query("k7_n4_warehouse_summary", q(f"""SELECT {WSUM_OUT}, {B('COALESCE(total_stock, 0)')} AS total_stock, {B('COALESCE(skus, 0)')} AS skus,
     {B('COALESCE(low_stock_items, 0)')} AS low_stock_items FROM wsum""", o.WSUM))
 def _(b: Bed) -> DataFrame:
-    return kpis.warehouse_summary(b.t.sales, b.t.inventory, b.t.warehouses)
+    return kpis.warehouse_summary(b.added("places"), b.t.inventory, b.t.warehouses)
 
 
 @query("k7v_warehouse_view", q(f"SELECT {WSUM_OUT}, {B('total_stock')} AS total_stock, {B('skus')} AS skus, {B('low_stock_items')} AS low_stock_items FROM wsum", o.WSUM))
@@ -605,7 +614,7 @@ def _(b: Bed) -> DataFrame:
 @query("n2_top_products", q(f"""SELECT product_id, product_name, category, {B('SUM(quantity)')} AS units_sold, {D('SUM(revenue)')} AS revenue
 FROM sales JOIN products USING (product_id) GROUP BY 1, 2, 3 ORDER BY SUM(revenue) DESC, product_id LIMIT 10"""))
 def _(b: Bed) -> DataFrame:
-    return kpis.top_products(b.t.sales, b.t.products)
+    return kpis.top_products(b.added("products"), b.t.products)
 
 
 @query("n5_slowest_pairs", q("""SELECT warehouse_id, product_id, product_name, current_stock, stock_turnover, days_of_inventory, movement_class
@@ -648,7 +657,7 @@ def _(b: Bed) -> DataFrame:
 
 @query("n12_top_product_ids", q(f"SELECT product_id, {D('SUM(revenue)')} AS revenue FROM sales GROUP BY 1 ORDER BY SUM(revenue) DESC, product_id LIMIT 10"))
 def _(b: Bed) -> DataFrame:
-    return kpis.top_product_ids(b.t.sales)
+    return kpis.top_product_ids(b.added("products"))
 
 
 # ================================================================================================ models
@@ -835,7 +844,7 @@ def _(b: Bed) -> DataFrame:
 
 @query("h9_warehouse_months", q(o.MOM, "mine AS (SELECT * FROM sales WHERE warehouse_id = '3')", o.MONTHLY.format("mine")))
 def _(b: Bed) -> DataFrame:
-    return served.monthly_of(b.t, "3")
+    return served.monthly_of(b.t.with_(sales=b.added("places")), "3")
 
 
 # ================================================================================================ dashboard
@@ -999,7 +1008,7 @@ def _(b: Bed) -> DataFrame:
 # ================================================================================================ measures
 @query("m1_m4_sales_measures", q(o.sales_measures("p.category, CAST(year(order_date) AS BIGINT) AS year", "1, 2")))
 def _(b: Bed) -> DataFrame:
-    return _rounded(ms.sales_by(b.t, ["category", "year"]), 6, "gross_margin")
+    return _rounded(ms.sales_by(b.t.with_(sales=b.added("pairs")), ["category", "year"]), 6, "gross_margin")
 
 
 @query("m1_m4_by_warehouse_product_name", q(o.sales_measures("warehouse_name, product_name", "1, 2")))
@@ -1181,6 +1190,25 @@ def _(b: Bed) -> DataFrame:
     return su.revenue_cube(*b.sw, "warehouse", "category")
 
 
+# ================================================================================================ sums kept by a refresh
+def _over_sums(name: str) -> None:
+    """The same query over clean files, where it reads sums by month instead of order lines."""
+    @query(f"{name}_of_sums", SQL[name])
+    def _(b: Bed) -> DataFrame:
+        return QUERIES[name](b.refreshed())
+
+
+for _name in ("k1_n1_headline", "k2_n3_monthly_sales", "k6_category_summary", "k7_n4_warehouse_summary", "n12_top_product_ids",
+              "h9_warehouse_months", "m1_m4_sales_measures"):
+    _over_sums(_name)
+
+
+@query("k3v_turnover_of_sums", SQL["k3v_turnover_view"])
+def _(b: Bed) -> DataFrame:
+    r = b.refreshed()
+    return kpis.stock_turnover_view(r.added("pairs"), *r.receipts[1:])
+
+
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Registered queries as (spark, folder) -> DataFrame."""
     def bind(build: Callable[[Bed], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

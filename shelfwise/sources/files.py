@@ -14,7 +14,9 @@ from shelfwise.functions.columns import json_safe
 from shelfwise.functions.firsts import POSITION
 from shelfwise.functions.months import MONTH, month_of, within, without_month
 from shelfwise.functions.staging import exists, remove, together
+from shelfwise.operators.rollups import month_sums
 from shelfwise.schemas import SALES, TABLE_NAMES, TABLE_SCHEMAS, Tables, conform
+from shelfwise.sources import sums
 
 DATE_FORMAT = "yyyy-MM-dd"
 #: Versions of the clean tables that stay: the one in force, and the one before for readers that have begun.
@@ -85,11 +87,21 @@ def new_version() -> str:
 
 
 def publish_version(spark: SparkSession, folder: str, version: str, keep: int = KEPT_VERSIONS) -> None:
-    """Put the tables of a version folder in force, all at once, and expire versions before the last `keep`."""
-    versions.publish(spark, folder, {"tables": version})
-    for number in versions.numbers(spark, folder)[:-keep]:
-        remove(spark, f"{folder}/{versions.read(spark, folder, number)['tables']}")
-        versions.forget(spark, folder, number)
+    """Put the tables of a version folder in force, all at once, with their sums by month; versions before the last `keep` expire.
+
+    Sums of months that did not change are taken over from the version before. Of two writers that began from the same version, the
+    slower one fails, so that it cannot name sums which the faster one has let expire.
+    """
+    number, before = versions.current(spark, folder) or (0, {})
+    month_states = sums.write_sums(spark, folder, _read_in(spark, f"{folder}/{version}", "sales"), before.get("sums", []))
+    versions.publish(spark, folder, {"tables": version, "sums": month_states}, number)
+    numbers = versions.numbers(spark, folder)
+    states = {n: versions.read(spark, folder, n) for n in numbers}
+    held = {entry["folder"] for n in numbers[-keep:] for entry in states[n].get("sums", [])}
+    for n in numbers[:-keep]:
+        for name in {states[n]["tables"], *(entry["folder"] for entry in states[n].get("sums", []))} - held:
+            remove(spark, f"{folder}/{name}")
+        versions.forget(spark, folder, n)
 
 
 def write_clean(tables: Tables, folder: str, csv: bool = True, keep: int = KEPT_VERSIONS) -> None:
@@ -105,6 +117,14 @@ def version_folder(spark: SparkSession, folder: str) -> str:
     return f"{folder}/{found[1]['tables']}" if found else folder
 
 
+def load_sums(spark: SparkSession, folder: str, grain: str) -> DataFrame:
+    """Sums by month of the sales in force. Where the version has none (written before there were any), its order lines are summed."""
+    found = versions.current(spark, folder)
+    if found is None or "sums" not in found[1]:
+        return month_sums(_read_in(spark, version_folder(spark, folder), "sales"), grain)
+    return sums.read_sums(spark, folder, found[1]["sums"], grain)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
     df.write.mode("overwrite").options(**keep).option("header", True).option("dateFormat", DATE_FORMAT).csv(path)
