@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 POSITION = "_position"
 
 
+#: What a reader of files says of a row: its file, the block of the file, and a number that grows inside the block.
+PLACED = ["file_path", "file_block_start", "row"]
+
+
+def is_placed(df: DataFrame) -> bool:
+    """Whether the positions of a frame were given by a reader."""
+    return POSITION in df.columns and df.select(f"{POSITION}.*").columns == PLACED
+
+
 def with_position(df: DataFrame) -> DataFrame:
     """Make sure the rows carry a position: file order if the reader gave one, else the order of all columns."""
     if POSITION in df.columns:

@@ -48,6 +48,21 @@ def number_rows(df: DataFrame, order: list[Column], name: str, label: str = "num
     return running_totals(df, order, {name: F.lit(1).cast("bigint")}, label)
 
 
+def number_in_groups(df: DataFrame, groups: list[Column], inside: list[Column], name: str) -> DataFrame:
+    """Add the 1-based position in the order of the groups, nulls first, and of `inside` within a group. Nothing is range-sorted.
+
+    For orders whose leading part cuts the rows into groups of bounded size (blocks of a file, days): rows are numbered inside their group
+    and get the rows of earlier groups added. One row per group meets in one task; rows are shuffled once, by their group.
+    """
+    kept = df.columns
+    grouped = df.withColumn("_group", F.struct(*[g.alias(f"g{i}") for i, g in enumerate(groups)]))
+    counts = grouped.groupBy("_group").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, 0))
+    earlier = counts.select("_group", (upto - F.col("_n")).alias("_earlier"))
+    numbered = grouped.withColumn("_nth", F.row_number().over(Window.partitionBy("_group").orderBy(*inside)))
+    return numbered.join(earlier, "_group").select(*kept, (F.col("_nth") + F.col("_earlier")).alias(name))
+
+
 def tile(position: Column, total: Column, tiles: int) -> Column:
     """NTILE bucket of a 1-based position: the first `total % tiles` buckets hold one row more."""
     size, extra = F.floor(total / tiles), total % tiles

@@ -377,6 +377,16 @@ def _(b: Bed) -> DataFrame:
     return _rounded(n, 4, "unit_price")
 
 
+@query("i8_order_ids_in_files", SQL["i8_order_ids"])
+def _(b: Bed) -> DataFrame:
+    path = new_path(b.spark, "export")
+    files.write_csv(b.sales_export.orderBy(*[F.col(f"`{c}`") for c in b.sales_export.columns]), path)
+    placed = files.read_text_csv(b.spark, path)
+    labelled = im.label_sales(im.Export.of(placed, "sales"), im.choose_date_rule(placed, F.col("`Bill Date`")))
+    n = im.number_orders(labelled).select("order_id", "order_date", "warehouse_id", "product_id", "quantity", "unit_price")
+    return _rounded(n, 4, "unit_price")
+
+
 @query("i9_unique_orders", q(f"SELECT order_id, order_date, warehouse_id, product_id, {B('quantity')} AS quantity, {R('unit_price', 4)} AS unit_price FROM uniq", o.EXPORT))
 def _(b: Bed) -> DataFrame:
     u = b.orders.select("order_id", "order_date", "warehouse_id", "product_id", "quantity", "unit_price")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.ordering import number_rows
+from shelfwise.functions.ordering import number_in_groups
 from shelfwise.operators.importing import Fallbacks
 from shelfwise.schemas import INVENTORY, PRODUCTS, RESTOCKS, SALES, WAREHOUSES, Tables, conform
 
@@ -32,7 +32,7 @@ def adapt_store_items(demand: DataFrame, n_items: int | None = None, fallbacks:
         product.alias("product_id"), F.format_string("Item %03d", F.col("item")).alias("product_name"),
         names[F.col("item") % len(CATEGORIES)].alias("category"), F.lit(fallbacks.cost_share).alias("unit_cost"),
         F.lit(1.0).alias("unit_price"), F.lit(fallbacks.lead_days).alias("lead_time_days"))
-    lines = number_rows(d.filter(F.col("units") > 0), [F.col(c).asc() for c in ("date", "store", "item")], "line", "store-items")
+    lines = number_in_groups(d.filter(F.col("units") > 0), [F.col("date")], [F.col("store").asc(), F.col("item").asc()], "line")
     sales = lines.select(
         F.format_string("K%07d", F.col("line")).alias("order_id"), F.col("date").alias("order_date"), place.alias("warehouse_id"),
         product.alias("product_id"), F.col("units").alias("quantity"), F.lit(1.0).alias("unit_price"), F.col("units").alias("revenue"))
